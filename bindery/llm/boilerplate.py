@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,58 +12,127 @@ from ..plans.staging import staged
 from . import lines as L
 
 SUPPORT = 8
-#: A key on this many pages can gather others around it.
-HUB_PAGES = 2
+#: A key on this many pages can gather the misread copies around it.
+HUB_PAGES = 3
+#: What may be broadcast: so many 8-byte hashes, and so many characters of keys. Beyond, a shuffled join does the same.
+BROADCAST_HASHES, BROADCAST_CHARS = 2_000_000, 16_000_000
 
 
-def keyed_lines(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """``book, page, field, line_no, key`` of each line with letters, page numbers left out.
+def _keys(text: str) -> list[str]:
+    """The keys of a text's lines, empty for page numbers and lines without letters."""
+    keys = L.line_keys(text)
+    if any(0 < len(k) < 9 for k in keys):
+        raw = text.split("\n")
+        keys = [k if len(k) >= 9 or k in L.PAGE_KEYS or not L.is_page_number(x) else "" for k, x in zip(keys, raw)]
+    return ["" if k in L.PAGE_KEYS else k for k in keys]
 
-    ``docs`` has ``book``, ``page`` and the fields; a null field has no lines, rows without book or
-    page are left out.
-    """
-    source = docs.select("book", "page", *fields).where("book is not null and page is not null")
+
+def _hash(key: str, book: str) -> int:
+    return xxhash.xxh64_intdigest(key, xxhash.xxh32_intdigest(book)) - (1 << 63)
+
+
+def _source(docs: DataFrame, fields: list[str]) -> DataFrame:
+    return docs.select("book", "page", *fields).where("book is not null and page is not null")
+
+
+def key_pages(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """``h, pages``: the number of pages of each line key of a book, by hash. Only two numbers a line are
+    shuffled; copies of a page count once."""
 
     def read(batches):
         for pdf in batches:
-            out = []
-            for field in fields:
-                for book, page, text in zip(pdf["book"], pdf["page"], pdf[field]):
-                    if not text:
-                        continue
-                    keys = L.line_keys(text)
-                    raw = text.casefold().split("\n") if len(keys) > 1 else [text]
-                    for no, key in enumerate(keys, 1):
-                        if key not in L.PAGE_KEYS and not (len(key) < 9 and no <= len(raw) and L.is_page_number(raw[no - 1])):
-                            out.append((book, page, field, no, key))
-            yield pd.DataFrame(out, columns=["book", "page", "field", "line_no", "key"])
+            hs, ps = [], []
+            for row in zip(pdf["book"], pdf["page"], *(pdf[f] for f in fields)):
+                book, page = row[0], xxhash.xxh64_intdigest(row[1]) - (1 << 63)
+                own = {_hash(k, book) for text in row[2:] if text for k in _keys(text) if k}
+                hs.extend(own)
+                ps.extend([page] * len(own))
+            yield pd.DataFrame({"h": np.array(hs, dtype="int64"), "p": np.array(ps, dtype="int64")})
+
+    return _source(docs, fields).mapInPandas(read, "h long, p long").groupBy("h").agg(F.count_distinct("p").alias("pages"))
+
+
+def hub_keys(docs: DataFrame, fields: list[str], counts: DataFrame) -> DataFrame:
+    """``book, key, pages`` of the keys that are on several pages; ``counts`` must be staged."""
+    several = counts.where(F.col("pages") >= HUB_PAGES)
+    small = several.count() <= BROADCAST_HASHES
+    wanted = np.sort(several.select("h").toPandas()["h"].to_numpy()) if small else None
+    shared = docs.sparkSession.sparkContext.broadcast(wanted) if small else None
+
+    def read(batches):
+        only = None if shared is None else set(shared.value.tolist())
+        for pdf in batches:
+            out = set()
+            for row in zip(pdf["book"], *(pdf[f] for f in fields)):
+                for text in row[1:]:
+                    if text:
+                        for k in _keys(text):
+                            if k and (only is None or _hash(k, row[0]) in only):
+                                out.add((_hash(k, row[0]), row[0], k))
+            yield pd.DataFrame(sorted(out), columns=["h", "book", "key"])
 
-    return source.mapInPandas(read, "book string, page string, field string, line_no int, key string")
+    lines = _source(docs, fields).mapInPandas(read, "h long, book string, key string")
+    return lines.distinct().join(several, "h").select("book", "key", "pages")
 
 
-def repeated_lines(keyed: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``book, key, hub, pages`` of all keys of lines that recur on at least ``support`` pages of a book.
+def with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows`` with ``hubs array<string>``, the hub keys of their book from the strongest on.
 
-    Keys on several pages gather the keys near them (misread copies) around the strongest; the pages
-    of a hub are counted over all its keys. ``keyed`` is read several times and should be staged.
+    A book has as many hubs as lines that recur in it. The hubs of all books are broadcast if their
+    measured size is within the bound, else both sides are shuffled by book (adaptive execution splits
+    hot books).
     """
-    nodes = staged(
-        keyed.groupBy("book", "key").agg(F.count_distinct("page").alias("pages"))
-    )
-    hubs = staged(nodes.where(F.col("pages") >= HUB_PAGES))
-    joined = L.nearest(nodes, hubs)
-    located = keyed.join(joined, ["book", "key"])
-    strong = (
-        located.groupBy("book", "hub")
-        .agg(F.count_distinct("page").alias("pages"))
-        .where(F.col("pages") >= support)
+    by_book = hubs.groupBy("book").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("order"), F.col("key").alias("key")))), lambda x: x["key"]
+        ).alias("hubs")
     )
-    return joined.join(strong, ["book", "hub"]).select("book", "key", "hub", "pages")
+    size = hubs.agg(F.sum(F.length("key") + F.length("book") + 16)).first()[0] or 0
+    return rows.join(F.broadcast(by_book) if size <= BROADCAST_CHARS else by_book, "book", "left")
+
 
+def located(docs: DataFrame, fields: list[str], hubs: DataFrame) -> DataFrame:
+    """``book, page, field, line_no, hub`` of every line that is a hub of its book or near one."""
 
-def occurrences(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Every line whose key is repeated: ``book, page, field, line_no, hub``."""
-    return keyed.join(repeated.select("book", "key", "hub"), ["book", "key"]).select("book", "page", "field", "line_no", "hub").distinct()
+    def read(batches):
+        cache: dict[str, L.Hubs] = {}
+        for pdf in batches:
+            out = []
+            for row in zip(pdf["book"], pdf["page"], pdf["hubs"], *(pdf[f] for f in fields)):
+                if row[0] not in cache:
+                    if len(cache) > 1000:
+                        cache.clear()
+                    cache[row[0]] = L.Hubs(list(row[2]))
+                own = cache[row[0]]
+                for field, text in zip(fields, row[3:]):
+                    if text:
+                        for no, k in enumerate(_keys(text), 1):
+                            if k and (hub := own.find(k)):
+                                out.append((row[0], row[1], field, no, hub))
+            yield pd.DataFrame(out, columns=["book", "page", "field", "line_no", "hub"])
+
+    rows = with_hubs(_source(docs, fields), hubs).where("hubs is not null").select("book", "page", "hubs", *fields)
+    return rows.mapInPandas(read, "book string, page string, field string, line_no int, hub string").distinct()
+
+
+def repeated_lines(docs: DataFrame, fields: list[str], support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """All lines that recur on at least ``support`` pages of their book, whatever their case, spacing,
+    marks, numbers and misread characters: ``book, page, field, line_no, hub``, and the hubs ``book,
+    key, pages`` themselves.
+
+    ``docs`` has ``book``, ``page`` and the text fields. Null fields have no lines; rows without book or
+    page, lines without letters and page numbers are no case; a page stored twice counts once. Three
+    passes over the texts: pages of each key, by hash; the keys on several pages; every line that is
+    one of those or a misread copy of one.
+    """
+    counts = staged(key_pages(docs, fields).where(F.col("pages") >= HUB_PAGES))
+    hubs = staged(hub_keys(docs, fields, counts))
+    lines = staged(located(docs, fields, hubs))
+    strong = staged(
+        lines.groupBy("book", "hub").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= support)
+    )
+    found = lines.join(strong.select("book", "hub"), ["book", "hub"]).select("book", "page", "field", "line_no", "hub")
+    return found, strong.select("book", F.col("hub").alias("key"), "pages")
 
 
 def blocks(found: DataFrame, support: int = SUPPORT) -> DataFrame:

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 # Characters that scanners confuse, as classes with one letter each, then pairs read as one letter.
 _CLASSES = {
     "a": "@",
@@ -43,8 +39,13 @@ class _Letters(dict):
 
 
 _LETTERS = _Letters()
-_NUMBER = re.compile(r"(?<![^\W\d_])[\dlios|!.,/:-]*\d[\dlios|!.,/:-]*(?![^\W\d_])")
-_ROMAN_EDGE = re.compile(r"^[^\w\n]*[ivxl]+(?=[^\w\n]*[ \t]{2,})|(?<=[ \t]{2})[^\w\n]*[ivxl]+[^\w\n]*$", re.M)
+_ONE = [_LETTERS[i] for i in range(256)]
+_BYTES = bytes(ord(x) if len(x) == 1 and ord(x) < 256 else i for i, x in enumerate(_ONE))
+_GONE = bytes(i for i, x in enumerate(_ONE) if not x)
+_BYTE_PAIRS = [(a.encode(), b.encode()) for a, b in _PAIRS]
+_NUMBER = re.compile(r"\d[\d.,/:lo|-]*")
+_ROMAN_EDGE = re.compile(r"^\W*[ivxl]+(?=\W*\s{2})|(?<=\s\s)\W*[ivxl]+\W*$")
+_PLAIN = (("€", "e"), ("†", "t"), ("“", ""), ("”", ""), ("’", ""), ("‘", ""), ("—", ""), ("–", ""), ("…", ""))
 
 _ROMAN = r"c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _BARE = re.compile(
@@ -85,13 +86,31 @@ def is_page_number(line: str) -> bool:
     return True
 
 
+def _number(m: re.Match) -> str:
+    """Nothing for a number standing for itself; a digit beside a letter is a misread letter."""
+    t, a, b = m.string, m.start(), m.end()
+    return m[0] if (a and t[a - 1].isalpha()) or (b < len(t) and t[b].isalpha()) else " "
+
+
 def line_keys(text: str) -> list[str]:
     """The key of each line of a text: its letters, folded; empty for lines without letters."""
-    t = _NUMBER.sub(" ", _ROMAN_EDGE.sub(" ", text.casefold()))
-    t = t.translate(_LETTERS)
-    for a, b in _PAIRS:
-        t = t.replace(a, b)
-    return t.split("\n")
+    t = text.casefold()
+    if not t.isascii():
+        for a, b in _PLAIN:
+            t = t.replace(a, b)
+    t = _NUMBER.sub(_number, t)
+    if "  " in t:
+        t = "\n".join([_ROMAN_EDGE.sub(" ", x) if "  " in x else x for x in t.split("\n")])
+    try:  # bytes are translated several times faster than other text
+        raw = t.encode("latin-1").translate(_BYTES, _GONE)
+        for a, b in _BYTE_PAIRS:
+            raw = raw.replace(a, b)
+        return raw.decode("latin-1").split("\n")
+    except UnicodeEncodeError:
+        t = t.translate(_LETTERS)
+        for a, b in _PAIRS:
+            t = t.replace(a, b)
+        return t.split("\n")
 
 
 #: Keys of lines of page words alone, never a case.
@@ -101,28 +120,50 @@ ANCHOR = 5
 EDITS, LETTERS_PER_EDIT = 1, 14
 
 
-def allowed(key: Column) -> Column:
-    return (F.lit(EDITS) + F.floor(F.length(key) / LETTERS_PER_EDIT)).cast("int")
+def allowed(key: str) -> int:
+    return EDITS + len(key) // LETTERS_PER_EDIT
 
 
-def anchors(key: Column) -> Column:
-    """Both ends of a key; keys that are few edits apart nearly always share one."""
-    return F.array_distinct(
-        F.array(
-            F.concat(F.lit("<"), key.substr(F.lit(1), F.lit(ANCHOR))),
-            F.concat(F.lit(">"), F.right(key, F.lit(ANCHOR))),
-        )
-    )
-
-
-def nearest(keys: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``book, key, hub``: for each key of a book the strongest of the book's hubs within the allowed
-    edits (a hub may be its own). Keys and hubs meet on a shared end and a length in reach, never pair
-    by pair."""
-    k = keys.select("book", "key", F.length("key").alias("len"), F.explode(anchors(F.col("key"))).alias("anchor"))
-    reach = F.sequence(F.length("hub") - allowed(F.col("hub")), F.length("hub") + allowed(F.col("hub")))
-    h = hubs.select("book", F.col("key").alias("hub"), "pages").select(
-        "*", F.explode(anchors(F.col("hub"))).alias("anchor")
-    ).select("*", F.explode(reach).alias("len"))
-    near = k.join(h, ["book", "anchor", "len"]).where(F.levenshtein("key", "hub") <= allowed(F.col("hub")))
-    return near.groupBy("book", "key").agg(F.max(F.struct("pages", "hub")).alias("best")).select("book", "key", "best.hub")
+def within(a: str, b: str, most: int) -> bool:
+    """Whether two strings are at most ``most`` single-letter edits apart (a band of the edit table)."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        if min(row) > most:
+            return False
+    return row[-1] <= most
+
+
+class Hubs:
+    """The repeated keys of one book, to be met by the keys of its lines.
+
+    A key near a hub nearly always shares one of its ends, so only hubs with the same end are compared.
+    """
+
+    def __init__(self, keys: list[str]) -> None:
+        """``keys`` from the strongest to the weakest; a key means the strongest it is near to."""
+        self.exact: dict[str, str] = {}
+        self.ends: dict[str, list[str]] = {}
+        for k in keys:
+            self.exact[k] = self.near(k) or k
+            if self.exact[k] == k:
+                for end in {"<" + k[:ANCHOR], ">" + k[-ANCHOR:]}:
+                    self.ends.setdefault(end, []).append(k)
+
+    def near(self, key: str) -> str | None:
+        for end in ("<" + key[:ANCHOR], ">" + key[-ANCHOR:]):
+            for hub in self.ends.get(end, ()):
+                if within(key, hub, allowed(hub)):
+                    return hub
+        return None
+
+    def find(self, key: str) -> str | None:
+        return self.exact.get(key) or self.near(key)

@@ -107,15 +107,13 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "page", "_docid", "book_id", *FIELDS).withColumnsRenamed({"_docid": "page", "book_id": "book"})
 
 
-def _repeated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """All keyed lines of the pages, and which of their keys are repeated."""
-    keyed = staged(boilerplate.keyed_lines(_pages(spark, folder), FIELDS))
-    return keyed, staged(boilerplate.repeated_lines(keyed))
+def _repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(boilerplate.repeated_lines(_pages(spark, folder), FIELDS)[0])
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every appearance of a line that belongs to a block of repeated lines of its book."""
-    found = staged(boilerplate.occurrences(*_repeated(spark, folder)))
+    found = _repeated(spark, folder)
     return found.join(boilerplate.blocks(found), ["book", "hub"]).select(
         F.col("page").alias("page_id"), "field", "line_no"
     ).distinct()
@@ -123,7 +121,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The blocks of repeated lines of every book, with the pages each line appears on."""
-    found = staged(boilerplate.occurrences(*_repeated(spark, folder)))
+    found = _repeated(spark, folder)
     pages = found.groupBy("book", "hub").agg(F.count_distinct("page").alias("pages"))
     return boilerplate.blocks(found).join(pages, ["book", "hub"]).select(
         F.col("book").alias("book_id"), "block", F.col("hub").alias("line_key"), "pages"
@@ -132,9 +130,10 @@ def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Every page without the repeated lines of its book."""
-    found = boilerplate.occurrences(*_repeated(spark, folder))
     once = _pages(spark, folder).dropDuplicates(["page"])
-    return boilerplate.without_lines(once, found, FIELDS).withColumnsRenamed({"page": "page_id", "book": "book_id"})
+    return boilerplate.without_lines(once, _repeated(spark, folder), FIELDS).withColumnsRenamed(
+        {"page": "page_id", "book": "book_id"}
+    )
 
 
 # p7 and p8: containers and mixes
