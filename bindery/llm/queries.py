@@ -70,9 +70,10 @@ def _daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.sketches(once, ["day", "provider", "stage"], ["cost_usd", "execution_seconds"])
 
 
-def _percentiles(parts: DataFrame) -> DataFrame:
-    found = quantiles.read_quantiles(quantiles.merged(parts, ["provider", "stage"]), PROBS)
+def _percentiles(parts: DataFrame, *keys: str) -> DataFrame:
+    found = quantiles.read_quantiles(quantiles.merged(parts, [*keys, "provider", "stage"]), PROBS)
     return found.select(
+        *(keys or [F.lit(None).cast("date").alias("day")]),
         "provider",
         "stage",
         "measure",
@@ -83,9 +84,11 @@ def _percentiles(parts: DataFrame) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Median, 90th, 95th and 99th percentiles of cost and execution time by provider and stage, put
-    together from daily sketches, with the stated rank error as a part of n."""
-    return _percentiles(_daily_sketches(spark, folder))
+    """Median, 90th, 95th and 99th percentiles of cost and execution time by provider and stage, with
+    the stated rank error as a part of n: for every day, and, with day null, for all days, whose
+    sketches are those of the days put together."""
+    parts = staged(_daily_sketches(spark, folder))
+    return _percentiles(parts, "day").unionByName(_percentiles(parts))
 
 
 def p3_daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
