@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from ..sources.tables import blank, metrics, table, zero
-from . import boilerplate, mixing, packing, quantiles, tokens
+from . import boilerplate, mixing, packing, quantiles, scans, tokens
 from .splitting import split_long
 
 LIMIT, OVERLAP, CAPACITY = 4096, 200, 2048
@@ -139,6 +139,50 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# p4: text read from scans
+
+
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts read from scans, with the book each belongs to."""
+    pages = table(spark, folder, "page", "_docid", "book_id", "ocr_markdown")
+    chapters = table(spark, folder, "chapter", "_docid", "unique_key", "mechanical_text").withColumn(
+        "book", F.substring_index("unique_key", ":", 1)
+    )
+    readings = table(spark, folder, "ocr_result", "page_id", "provider", "text")
+    paragraphs = table(spark, folder, "paragraph", "_docid", "chapter_id", "raw_text")
+    book_of_page = pages.groupBy(F.col("_docid").alias("page_id")).agg(F.max("book_id").alias("book"))
+    book_of_chapter = chapters.groupBy(F.col("_docid").alias("chapter_id")).agg(F.max("book").alias("book"))
+    parts = [
+        pages.select(F.lit("page").alias("tab"), F.col("_docid").alias("row_key"), F.col("book_id").alias("book"), F.col("ocr_markdown").alias("text")),
+        readings.where("text <> ''").join(book_of_page, "page_id", "left").select(
+            F.lit("ocr_result").alias("tab"), F.concat("page_id", F.lit("|"), blank("provider")).alias("row_key"), "book", "text"
+        ),
+        chapters.select(F.lit("chapter").alias("tab"), F.col("unique_key").alias("row_key"), "book", F.col("mechanical_text").alias("text")),
+        paragraphs.join(book_of_chapter, "chapter_id", "left").select(
+            F.lit("paragraph").alias("tab"), F.col("_docid").alias("row_key"), "book", F.col("raw_text").alias("text")
+        ),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("text <> ''")
+
+
+def _noise(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    hubs = boilerplate.repeated_lines(_pages(spark, folder), FIELDS)[1]
+    texts = _scans(spark, folder)
+    return texts, scans.findings(texts, hubs)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with cut words, misread characters, running lines and page numbers."""
+    _, (furniture, marked, _) = _noise(spark, folder)
+    return scans.found_lines(furniture, marked)
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as continuous clean paragraphs; rows stored twice come out once."""
+    texts, noise = _noise(spark, folder)
+    return scans.repaired(texts.drop("book").distinct(), *noise)
+
+
 # p7 and p8: containers and mixes
 
 
@@ -204,6 +248,8 @@ QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_daily_sketches": p3_daily_sketches,
     "p3_percentiles_of_mondays": p3_percentiles_of_mondays,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p6_found": p6_found,
     "p6_blocks": p6_blocks,
     "p6_clean": p6_clean,
