@@ -130,19 +130,35 @@ def sketches(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
 
 def merged(parts: DataFrame, keys: list[str], fan_in: int = 16) -> DataFrame:
     """One sketch ``*keys, measure, sketch`` per key and measure, from sketches of any partitions,
-    days or files. A key's parts are first merged in ``fan_in`` salted groups, so that no task
-    holds all parts of a hot key; a sketch grows only as the logarithm of what it has seen."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*keys, "measure", "sketch").schema)
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = Sketch()
-        for data in pdf["sketch"]:
-            whole.merge(Sketch.unpack(data))
-        return pdf.head(1)[[*keys, "measure"]].assign(sketch=[whole.pack()])
-
-    salted = parts.select(*keys, "measure", "sketch", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).alias("_salt"))
-    first = salted.groupBy(*keys, "measure", "_salt").applyInPandas(join, schema)
-    return first.groupBy(*keys, "measure").applyInPandas(join, schema)
+    days or files. A key's parts are first merged in ``fan_in`` salted groups (none if 1), so that no
+    task holds all parts of a hot key; a sketch grows only as the logarithm of what it has seen. Parts
+    are sorted by key within partitions and merged as they stream by."""
+    by = [*keys, "measure"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*by, "sketch").schema)
+
+    def run(batches):
+        name, whole = None, None
+        for pdf in batches:
+            done = []
+            columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in by]
+            for own, data in zip(zip(*columns), pdf["sketch"]):
+                if own != name:
+                    if whole is not None:
+                        done.append((*name, whole.pack()))
+                    name, whole = own, Sketch.unpack(data)
+                else:
+                    whole.merge(Sketch.unpack(data))
+            yield pd.DataFrame(done, columns=[*by, "sketch"])
+        if whole is not None:
+            yield pd.DataFrame([(*name, whole.pack())], columns=[*by, "sketch"])
+
+    def level(df: DataFrame, *salt: str) -> DataFrame:
+        return df.repartition(*by, *salt).sortWithinPartitions(*by, *salt).select(*by, "sketch").mapInPandas(run, schema)
+
+    first = parts.select(*by, "sketch")
+    if fan_in > 1:
+        first = level(first.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(fan_in))), "_salt")
+    return level(first)
 
 
 def read_quantiles(df: DataFrame, probs: list[float]) -> DataFrame:

@@ -71,7 +71,7 @@ def _daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _percentiles(parts: DataFrame, *keys: str) -> DataFrame:
-    found = quantiles.read_quantiles(quantiles.merged(parts, [*keys, "provider", "stage"]), PROBS)
+    found = quantiles.read_quantiles(quantiles.merged(parts, [*keys, "provider", "stage"], 1 if keys else 16), PROBS)
     return found.select(
         *(keys or [F.lit(None).cast("date").alias("day")]),
         "provider",
@@ -93,7 +93,7 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
     """The sketch of each day, provider, stage and measure, to be stored and put together later."""
-    return quantiles.merged(_daily_sketches(spark, folder), ["day", "provider", "stage"])
+    return quantiles.merged(_daily_sketches(spark, folder), ["day", "provider", "stage"], 1)
 
 
 def p3_percentiles_of_mondays(spark: SparkSession, folder: str) -> DataFrame:
