@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from ..sources.tables import blank, metrics, table, zero
-from . import boilerplate, mixing, packing, quantiles, scans, tokens
+from . import abuse, boilerplate, mixing, packing, quantiles, scans, tokens
 from .splitting import split_long
 
 LIMIT, OVERLAP, CAPACITY = 4096, 200, 2048
@@ -242,6 +242,33 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# p9: abusive content
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document, and whether it is over the threshold."""
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    model = abuse.fit(abuse.labelled(docs, table(spark, folder, "doc_label")))
+    shared = spark.sparkContext.broadcast(model)  # one weight for each of 2**20 subsequences
+    return docs.select("doc_id", "source", abuse.score(F.col("text"), shared).alias("s")).select(
+        "doc_id", "source", "s.score", "s.abusive"
+    )
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with at least one abusive, hateful or sexually explicit passage."""
+    return p9_scores(spark, folder).where("abusive").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, abusive documents and their rate by source."""
+    return p9_scores(spark, folder).groupBy(blank("source").alias("source")).agg(
+        F.count("*").alias("documents"),
+        F.count_if("abusive").alias("abusive"),
+        F.round(F.count_if("abusive") / F.count("*"), 6).alias("rate"),
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -257,5 +284,8 @@ QUERIES = {
     "p7_containers": p7_containers,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 SQL = {"p1_found": P1_SQL}
