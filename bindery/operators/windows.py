@@ -79,4 +79,4 @@ def gaps(df: DataFrame, group: str, page: str, first: Column, last: Column, long
         F.when(n - p > longest, F.struct((p + 1).alias("gap_start"), (n - 1).alias("gap_end"), (n - p - 1).alias("size"))),
         F.when(n.isNull() & (F.col("_b") - p > longest), F.struct((p + 1).alias("gap_start"), F.col("_b").alias("gap_end"), (F.col("_b") - p).alias("size"))),
     )
-    return placed.select(group, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("g")).select(group, "g.*")
+    return placed.select(group, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_gap")).select(group, "_gap.*")

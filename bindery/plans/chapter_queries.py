@@ -43,7 +43,8 @@ def pages(spark, folder, *columns):
     return table(spark, folder, "page", *names).dropDuplicates(["_docid"])
 
 
-_ORDER = [F.col("sort_order").asc_nulls_last(), F.col("unique_key")]
+def _order() -> list:
+    return [F.col("sort_order").asc_nulls_last(), F.col("unique_key")]
 
 
 @query(f"""with {_CH}, {_BK} select book_id, unique_key, printf('ch_%03d', row_number() over w) as entry,
@@ -52,7 +53,7 @@ from c join b using (book_id) where start_page is not null window w as (partitio
 def chapter_skeleton(spark, folder):
     """Chapters with a start page, numbered, with the end page that follows from the next start."""
     c = chapters(spark, folder, "sort_order", "start_page").where("start_page is not null").join(books(spark, folder), "book_id")
-    out = W.skeleton(c, "book_id", _ORDER, F.col("start_page"), F.col("page_count"))
+    out = W.skeleton(c, "book_id", _order(), F.col("start_page"), F.col("page_count"))
     return out.select("book_id", "unique_key", "entry", "start_page", F.col("end").alias("end_page"))
 
 
@@ -69,7 +70,7 @@ select book_id, unique_key, level, case {' '.join(f"when level = {n} and a{n} >
 def chapter_parent(spark, folder):
     """Parent of every chapter as its level and order say."""
     c = chapters(spark, folder, "sort_order", "level", "entry_id")
-    return W.parent_by_level(c, "book_id", _ORDER, "level", "entry_id").select("book_id", "unique_key", "level", "parent")
+    return W.parent_by_level(c, "book_id", _order(), "level", "entry_id").select("book_id", "unique_key", "level", "parent")
 
 
 @query(f"""with {_CH}, {_BK}, p as (select distinct book_id, start_page as p, page_count as b from c join b using (book_id) where start_page is not null),
@@ -102,7 +103,7 @@ def gap_neighbourhood(spark, folder):
 select * from r where old_order <> new_order""")
 def resort_entries(spark, folder):
     """New order by page for the chapters whose order changes by it, in steps of a hundred."""
-    w = Window.partitionBy("book_id").orderBy(F.col("start_page").asc_nulls_last(), *_ORDER)
+    w = Window.partitionBy("book_id").orderBy(F.col("start_page").asc_nulls_last(), *_order())
     c = chapters(spark, folder, "sort_order", "start_page")
     return (
         c.select("book_id", "unique_key", F.coalesce("sort_order", F.lit(-1)).alias("old_order"), (F.row_number().over(w) * 100).cast("int").alias("new_order"))
@@ -175,7 +176,7 @@ select book_id, grp::bigint as nav_group, count(*) as chapters, string_agg(entry
 def nav_groups(spark, folder):
     """Navigation groups: each part or first-level chapter with all deeper ones up to the next."""
     c = chapters(spark, folder, "sort_order", "level", "level_name", "entry_id")
-    w = Window.partitionBy("book_id").orderBy(*_ORDER)
+    w = Window.partitionBy("book_id").orderBy(*_order())
     opens = F.coalesce(F.col("level_name") == "part", F.lit(False)) | F.coalesce(F.col("level") <= 1, F.lit(False))
     g = c.withColumn("no", F.row_number().over(w)).withColumn("nav_group", F.sum(opens.cast("long")).over(w))
     return g.groupBy("book_id", "nav_group").agg(

@@ -9,13 +9,15 @@ from ..operators import hierarchy as H
 from ..operators.intervals import runs_and_gaps
 from ..sources.tables import table
 
-BOOK = F.substring_index("unique_key", ":", 1)
+def _book():
+    return F.substring_index("unique_key", ":", 1)
+
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Covered page ranges of every book and the uncovered ranges between them."""
     ch = table(spark, folder, "chapter", "unique_key", "start_page", "end_page").select(
-        BOOK.alias("book_id"), "start_page", "end_page"
+        _book().alias("book_id"), "start_page", "end_page"
     )
     return runs_and_gaps(ch, "book_id", "start_page", "end_page").select(
         F.col("entity").alias("book_id"),
@@ -26,7 +28,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chapter_tree(spark: SparkSession, folder: str) -> DataFrame:
-    ch = table(spark, folder, "chapter", "unique_key", "entry_id", "_docid", "parent_id").withColumn("book", BOOK)
+    ch = table(spark, folder, "chapter", "unique_key", "entry_id", "_docid", "parent_id").withColumn("book", _book())
     return H.hierarchy(H.links(ch, "book", "entry_id", "_docid", "parent_id"))
 
 

@@ -40,7 +40,8 @@ where stage = 'ocr' and provider = 'inkscan' and coalesce(success, false)
   and created_at > timestamptz '2025-03-01 00:00:00+00' and created_at < timestamptz '2025-09-01 00:00:00+00'""")
 def metric_list_filtered(spark, folder):
     """Calls by equality filters, success and strict time bounds."""
-    found = M.matching(metrics(spark, folder), "2025-03-01 00:00:00", "2025-09-01 00:00:00", True, stage="ocr", provider="inkscan")
+    log = table(spark, folder, "metric")
+    found = M.matching(log, "2025-03-01 00:00:00", "2025-09-01 00:00:00", True, stage="ocr", provider="inkscan").dropDuplicates(["_docid"])
     return found.select("_docid", "book_id", "stage", "provider", "cost_usd", "created_at")
 
 
@@ -78,7 +79,7 @@ def detailed_stats(spark, folder):
   {_DETAILS} from ({_TIMED}) where coalesce(stage, '') <> '' group by 1""")
 def stage_detailed_stats(spark, folder):
     """All statistics of every stage, recognition by provider; calls without stage are left out."""
-    return metrics(spark, folder).where(blank("stage") != "").groupBy(M.stage_key().alias("stage_key")).agg(*M.details())
+    return metrics(spark, folder, blank("stage") != "").groupBy(M.stage_key().alias("stage_key")).agg(*M.details())
 
 
 def _by(key: str):
@@ -117,7 +118,7 @@ def book_cost_cache(spark, folder):
     from pyspark.sql import Window
 
     cost = F.sum(F.col("cost_usd").cast("decimal(18,6)"))
-    by = metrics(spark, folder).where((blank("stage") != "") & (F.col("cost_usd") > 0) & F.col("book_id").isNotNull())
+    by = metrics(spark, folder, (blank("stage") != "") & (F.col("cost_usd") > 0) & F.col("book_id").isNotNull())
     return by.groupBy("book_id", "stage").agg(cost.alias("cost")).select(
         "book_id",
         "stage",
@@ -129,7 +130,7 @@ def book_cost_cache(spark, folder):
 @query(_ONCE + "select coalesce(book_id, '') as book_id, coalesce(model, '') as model, count(*) as calls from m where coalesce(total_tokens, 0) > 0 group by 1, 2")
 def llmcall_counts(spark, folder):
     """Calls of language models by book and model."""
-    return metrics(spark, folder).where(zero("total_tokens") > 0).groupBy(blank("book_id").alias("book_id"), blank("model").alias("model")).agg(
+    return metrics(spark, folder, zero("total_tokens") > 0).groupBy(blank("book_id").alias("book_id"), blank("model").alias("model")).agg(
         F.count("*").alias("calls")
     )
 
@@ -151,7 +152,7 @@ def cost_stage_groups(spark, folder):
 where output_doc_id is not null group by 1, 2""")
 def metric_for_output(spark, folder):
     """The first call that made each version of a document."""
-    m = metrics(spark, folder).where("output_doc_id is not null")
+    m = metrics(spark, folder, "output_doc_id is not null")
     return m.groupBy("output_doc_id", "output_cid").agg(
         F.min_by("_docid", F.struct("created_at", "_docid")).alias("_docid"), F.count("*").alias("calls")
     )
@@ -164,7 +165,7 @@ select coalesce(c.chapter_id, '') as chapter_id, max(c.title) as title, sum(cost
 from p left join c on c.chapter_id = p.k group by 1""")
 def metric_chapter_attribution(spark, folder):
     """Cost of two stages by the chapter their item keys name; calls of no chapter stay under ''."""
-    calls = metrics(spark, folder).where(F.col("stage").isin("tts", "structure-polish")).select(
+    calls = metrics(spark, folder, F.col("stage").isin("tts", "structure-polish")).select(
         zero("cost_usd").cast("decimal(18,6)").alias("cost"), F.coalesce(T.key_prefix(F.col("item_key")), F.lit("")).alias("k")
     )
     by_key = calls.groupBy("k").agg(F.sum("cost").alias("cost"), F.count("*").alias("calls"))
@@ -179,7 +180,7 @@ def metric_chapter_attribution(spark, folder):
   (floor(epoch(max(created_at))) - floor(epoch(min(created_at))))::bigint as duration_seconds from m where job_id is not null group by 1""")
 def job_spans(spark, folder):
     """First and last call of every job and the seconds between."""
-    return metrics(spark, folder).where("job_id is not null").groupBy("job_id").agg(
+    return metrics(spark, folder, "job_id is not null").groupBy("job_id").agg(
         F.count("*").alias("calls"),
         F.min("created_at").alias("started_at"),
         F.max("created_at").alias("completed_at"),
@@ -191,7 +192,7 @@ def job_spans(spark, folder):
 order by created_at desc, _docid limit 20""")
 def recent_runs_topk(spark, folder):
     """The twenty newest calls that didn't succeed."""
-    failed = metrics(spark, folder).where(~F.coalesce("success", F.lit(False)))
+    failed = metrics(spark, folder, ~F.coalesce("success", F.lit(False)))
     return failed.select("_docid", "created_at", "stage", "total_seconds").orderBy(F.desc("created_at"), "_docid").limit(20)
 
 
@@ -209,7 +210,7 @@ def priority_bands(spark, folder):
 where stage in ('toc', 'tts') and success is not true group by 1, 2""")
 def stage_union(spark, folder):
     """Failed calls of two stages together, by kind of error and provider."""
-    m = metrics(spark, folder).where(~F.coalesce("success", F.lit(False)))
+    m = metrics(spark, folder, F.col("stage").isin("toc", "tts") & ~F.coalesce("success", F.lit(False)))
     both = m.where(F.col("stage") == "toc").unionByName(m.where(F.col("stage") == "tts"))
     return both.groupBy(blank("error_type").alias("error_type"), blank("provider").alias("provider")).agg(F.count("*").alias("calls"))
 

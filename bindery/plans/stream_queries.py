@@ -91,7 +91,7 @@ def valid_identifiers(spark, folder):
     from ..operators.query import valid_ids
     from ..sources.tables import metrics
 
-    return metrics(spark, folder).where("stage = 'metadata'").select("_docid", "total_tokens", valid_ids(F.col("job_id")).alias("valid"))
+    return metrics(spark, folder, "stage = 'metadata'").select("_docid", "total_tokens", valid_ids(F.col("job_id")).alias("valid"))
 
 
 @query("""with t as (select event_type, event_id, ts, value from events)

@@ -12,13 +12,15 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """The call log with each delivered call counted once.
+def metrics(spark: SparkSession, folder: str, where=None) -> DataFrame:
+    """The call log, or what of it meets a condition, with each delivered call counted once.
 
-    Calls delivered twice are identical, so any of the copies stands for both. NULL and zero mean the
-    same in the log (writers leave zeros out), which is why readers of numbers use ``zero``.
+    Calls delivered twice are identical, so any of the copies stands for both, and a condition may be put
+    before they are told apart, where it reaches the scan. NULL and zero mean the same in the log
+    (writers leave zeros out), which is why readers of numbers use ``zero``.
     """
-    return table(spark, folder, "metric").dropDuplicates(["_docid"])
+    log = table(spark, folder, "metric")
+    return (log if where is None else log.where(where)).dropDuplicates(["_docid"])
 
 
 def zero(name: str):
