@@ -136,6 +136,18 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarr
     return w
 
 
+def _valley(x: np.ndarray) -> float:
+    """Where to part numbers into two groups so that both vary least within."""
+    x = np.sort(x)
+    n = np.arange(1, len(x))
+    if not len(n):
+        return float(x[0]) - 1.0
+    sums, squares = np.cumsum(x)[:-1], np.cumsum(x * x)[:-1]
+    spread = squares - sums**2 / n + ((x * x).sum() - squares) - (x.sum() - sums) ** 2 / (len(x) - n)
+    k = int(np.argmin(spread))
+    return float(x[k] + x[k + 1]) / 2
+
+
 def _kernel(cs: list[np.ndarray], landmarks: list[np.ndarray], block: int = 16) -> np.ndarray:
     """Kernel values of all units with the landmarks, the landmarks' vectors side by side in blocks."""
     out = np.empty((len(cs), len(landmarks)), dtype=np.float32)
@@ -201,8 +213,8 @@ def fit(docs: list[tuple[str, int]], seed: int = 7) -> Model:
     def draw(of: np.ndarray, most: int) -> np.ndarray:
         return rng.choice(of, min(most, len(of)), replace=False)
 
-    middle, high = np.quantile(first[neg], [0.5, 0.995])
-    bound = middle + 1.2 * (high - middle)
+    high = np.quantile(first[neg], 0.98)
+    bound = max(_valley(first[pos]), high)
     y = np.where((mark == 1) & (first > bound), 1.0, -1.0)
     if not (y > 0).any():
         y[pos[np.argmax(first[pos])]] = 1.0

@@ -45,8 +45,10 @@ def mix(items: DataFrame, chosen: DataFrame, source: str, size: str, ids: list[s
     copies, the stretches lie end to end, and after one random offset an item is used once for each
     whole number its stretch crosses: its repeats are the expected copies rounded down or up, and each
     range of sizes gets its share. Items not used, of unlisted sources, or of no or null size, are left
-    out. ``items`` is read twice and should be staged.
+    out. ``items`` is read twice and should be staged. Repeated rows are items of their own; columns
+    with the names of the result's are replaced.
     """
+    items = items.drop("repeats", "copies", "offset", "max_repeats", "rank", "_salt", "_offset", "_n")
     listed = items.where(F.col(size) > 0).join(chosen.select(F.col("source").alias(source)), source, "left_semi")
     placed = ranked(listed, [source], [size], ids, salts).join(
         chosen.select(F.col("source").alias(source), "copies", "offset", "max_repeats"), source

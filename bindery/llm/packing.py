@@ -63,9 +63,12 @@ def pack(items: DataFrame, size: str, ids: list[str], capacity: int = 2048, salt
     Items larger than ``capacity`` (and only those) are cut into parts of ``capacity`` and a rest.
     The histogram of part sizes, of at most ``capacity`` + 1 rows, is planned on the driver; parts
     take their slots by size and rank within the size. Items of size 0, or of null size (read as 0),
-    take no space; they are spread over the containers. ``items`` is read several times and should be staged. Repeated rows are
-    items of their own. An empty table gives no rows.
+    take no space; they are spread over the containers. ``items`` is read several times and should be
+    staged. Repeated rows are
+    items of their own. Columns with the names of the result's are replaced. An empty table gives no
+    rows.
     """
+    items = items.drop("part", "part_start", "part_size", "container", "rank", "rank_from", "rank_to", "container_from", "per_container", "_salt", "_offset", "_n")
     length = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     count = F.greatest(F.ceil(length / F.lit(capacity)), F.lit(1)).cast("int")
     parts = items.select("*", F.explode(F.sequence(F.lit(1), count)).alias("part")).select(

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 #: Kinds of boundary, from the strongest pause to none, with the penalty of a cut there.
 PENALTY = {"paragraph": 0.0, "sentence": 1.0, "line": 2.0, "clause": 4.0, "word": 8.0, "none": 40.0}
 PIECE_COST, IMBALANCE = 6.0, 6.0
-_PAUSE = re.compile(r"(\n[^\S\n]*\n\s*)|([.!?…]['\"”’»)\]]*\s+)|(\n\s*)")
+_PAUSES = (
+    ("paragraph", re.compile(r"\n[^\S\n]*\n\s*")),
+    ("sentence", re.compile(r"[.!?…]['\"”’»)\]]*\s+")),
+    ("line", re.compile(r"\n\s*")),
+)
 _CLAUSE = re.compile(r"[,;:—–]['\"”’»)\]]*\s+")
 _WORD = re.compile(r"\s+")
 SPANS = "array<struct<start:int,end:int,fresh:int,cut:string>>"
@@ -22,8 +26,11 @@ SPANS = "array<struct<start:int,end:int,fresh:int,cut:string>>"
 def _boundaries(text: str, longest: int) -> tuple[list[int], list[str]]:
     """Positions inside the text where it may be cut, with their kinds. Weaker kinds are looked up
     only where stronger ones leave a stretch of more than ``longest`` characters."""
-    found = [(m.end(), ("paragraph", "sentence", "line")[m.lastindex - 1]) for m in _PAUSE.finditer(text)]
-    n = len(text)
+    n, best = len(text), {}
+    for kind, pattern in _PAUSES:
+        for m in pattern.finditer(text):
+            best.setdefault(m.end(), kind)
+    found = sorted(best.items())
     for pattern, kind in ((_CLAUSE, "clause"), (_WORD, "word"), (None, "none")):
         more, last = [], 0
         for at, _ in [*found, (n, "")]:
@@ -96,8 +103,9 @@ def split_long(df: DataFrame, text: str, limit: int = 4096, overlap: int = 200)
     No piece is longer than ``limit`` code points; each but the first repeats up to ``overlap`` of the
     one before. The pieces' parts from ``piece_fresh`` on, joined, are the text. Texts of up to
     ``limit`` are one piece and never leave the JVM; an empty text is one empty piece; a null text has
-    no piece. Repeated rows are split each for itself.
+    no piece. Repeated rows are split each for itself. Columns with the names of the result's are replaced.
     """
+    df = df.drop("piece_no", "piece_start", "piece_end", "piece_fresh", "piece_cut", "_spans", "_span", "_at")
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
 
