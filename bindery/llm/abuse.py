@@ -83,6 +83,17 @@ def units(text: str) -> list[np.ndarray]:
     return out
 
 
+def _mass(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Squared length of each unit's vector over the energy of one subsequence: the sum of the squared
+    counts of its runs of letters. Units lie in ``flat`` with gaps between."""
+    ids = (flat[:-3] << 15) | (flat[1:-2] << 10) | (flat[2:-1] << 5) | flat[3:]
+    start = np.concatenate([[0], np.cumsum(sizes + WINDOW)[:-1]])
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[unit]
+    keys, counts = np.unique((unit << (5 * LETTERS)) | ids[inside], return_counts=True)
+    return np.bincount(keys >> (5 * LETTERS), weights=counts.astype(float) ** 2, minlength=len(sizes))
+
+
 def features(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and weights of all gapped subsequences of a unit, scaled to about unit length."""
     padded = np.concatenate([c, np.zeros(WINDOW, dtype=np.int64)])
@@ -90,7 +101,7 @@ def features(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.concatenate(
         [((padded[0:n] << 15) | (padded[p[1] : p[1] + n] << 10) | (padded[p[2] : p[2] + n] << 5) | padded[p[3] : p[3] + n]) for p in _PATTERNS]
     )
-    return ids, np.repeat(np.array(_WEIGHTS) / (n * _ENERGY) ** 0.5, n)
+    return ids, np.repeat(np.array(_WEIGHTS) / (_mass(padded, np.array([n]))[0] * _ENERGY) ** 0.5, n)
 
 
 class Model:
@@ -116,7 +127,7 @@ class Model:
             total += w * self.weights[at]
         sums = np.concatenate([[0.0], np.cumsum(total)])
         start = np.concatenate([[0], np.cumsum(sizes + WINDOW)[:-1]])
-        return (sums[np.minimum(start + sizes, m)] - sums[start]) / (sizes * _ENERGY) ** 0.5 + self.bias
+        return (sums[np.minimum(start + sizes, m)] - sums[start]) / (_mass(flat, sizes) * _ENERGY) ** 0.5 + self.bias
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarray:
@@ -171,7 +182,7 @@ def _kernel(cs: list[np.ndarray], landmarks: list[np.ndarray], block: int = 16)
             start = np.concatenate([[0], np.cumsum(sizes + WINDOW)[:-1]])
             edges = np.stack([start, np.minimum(start + sizes, m - 1)], axis=1).ravel()
             sums = np.add.reduceat(total, edges, axis=0)[::2]
-            out[at : at + 1000, first : first + block] = (sums / np.sqrt(sizes * _ENERGY)[:, None])[:, : len(used)]
+            out[at : at + 1000, first : first + block] = (sums / np.sqrt(_mass(flat, sizes) * _ENERGY)[:, None])[:, : len(used)]
         for ids in used:
             table[ids] = 0
     return out

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def test_held_out_accuracy_with_wrong_marks():
 
 
 def test_kernel_is_the_gapped_subsequence_kernel():
-    a, b = A.codes("a filthy moron"), A.codes("the filthy m.oron")
+    a, b = A.codes("a filthy moron is a filthy moron"), A.codes("the filthy m.oron")
 
     def phi(c):
         out = {}
@@ -45,8 +46,12 @@ def test_kernel_is_the_gapped_subsequence_kernel():
                 out[key] = out.get(key, 0) + A.DECAY ** (p[-1] - A.LETTERS + 1)
         return out
 
+    def mass(c):
+        runs = Counter(tuple([*c, 0, 0, 0][i : i + 4]) for i in range(len(c)))
+        return sum(n * n for n in runs.values())
+
     x, y = phi(a), phi(b)
-    exact = sum(v * y.get(k, 0) for k, v in x.items()) / (len(a) * len(b)) ** 0.5 / A._ENERGY
+    exact = sum(v * y.get(k, 0) for k, v in x.items()) / (mass(a) * mass(b)) ** 0.5 / A._ENERGY
     assert abs(A._kernel([a], [b])[0, 0] - exact) < 1e-5 and abs(A._kernel_one([a], b)[0] - exact) < 1e-5
 
 
