@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import blank, zero
@@ -62,19 +62,64 @@ def summary() -> list[Column]:
     ]
 
 
-def details() -> list[Column]:
-    """The summary, all kinds of tokens, and the latency of calls that took any time: exact percentiles
-    with linear interpolation, 0 where no call took time."""
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact percentiles of the positive values of each group, with linear interpolation: ``*keys, p0, p1 …``
+    in the order of ``probs``. Other values aren't counted; groups without any have no row. Keys
+    mustn't be null.
+
+    A group of any size is no burden for one task: equal values are counted before the shuffle, the
+    counts of cells of a sixteenth of a power of two are summed up, and only the few cells that hold a
+    wanted rank are sorted.
+    """
+    v = F.col(value)
+    cell = F.floor(F.log2(v) * 16)
+    values = df.where(v > 0).select(*keys, cell.alias("_cell"), v.alias("_v")).groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = values.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_c")).select(
+        *keys, "_cell", "_c", before.alias("_off"), F.sum("_c").over(own).alias("_all")
+    )
+    at = lambda p: F.lit(p) * (F.col("_all") - 1)
+    ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+    wanted = cells.withColumn(
+        "_ranks", F.filter(ranks, lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_c")))
+    ).where(F.size("_ranks") > 0)
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    picked = (
+        values.join(wanted, [*keys, "_cell"])
+        .withColumn("_end", F.col("_off") + upto)
+        .select(*keys, "_v", "_n", "_all", "_end", F.explode("_ranks").alias("_rank"))
+        .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
+    )
+    value_at = lambda f, p: F.max(F.when(F.col("_rank") == f(at(p)).cast("long"), F.col("_v")))
+    parts = [g.alias(f"_{k}{i}") for i, p in enumerate(probs) for k, g in (("a", value_at(F.floor, p)), ("b", value_at(F.ceil, p)))]
+    found = picked.groupBy(*keys).agg(*parts, F.max("_all").alias("_all"))
+    low, high = lambda i: F.col(f"_a{i}"), lambda i: F.col(f"_b{i}")
+    return found.select(*keys, *[(low(i) + (high(i) - low(i)) * (at(p) - F.floor(at(p)))).alias(f"p{i}") for i, p in enumerate(probs)])
+
+
+#: Percentiles of the latency that the details give.
+LATENCY = (50, 95, 99)
+
+
+def details(df: DataFrame, *keys: Column) -> DataFrame:
+    """The summary of each group, all kinds of tokens, and the latency of its calls that took any time:
+    exact percentiles with linear interpolation, 0 where no call took time. Keys mustn't be null."""
     spent = F.when(F.col("total_seconds") > 0, F.col("total_seconds"))
     shown = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return [
+    rest = ["cost_usd", "success", "total_seconds", *[f"{k}_tokens" for k in ("total", "prompt", "completion", "reasoning")]]
+    keyed = df.select(*keys, *rest)
+    names = keyed.columns[: len(keys)]
+    main = keyed.groupBy(*names).agg(
         *summary(),
         *[_tokens(f"{k}_tokens").alias(f"sum_{k}_tokens") for k in ("prompt", "completion", "reasoning")],
         shown(F.min(spent)).alias("latency_min"),
         shown(F.max(spent)).alias("latency_max"),
         shown(F.sum(spent.cast("decimal(18,6)")).cast("double") / F.count(spent)).alias("latency_avg"),
-        *[shown(F.percentile(spent, F.lit(p / 100))).alias(f"latency_p{p}") for p in (50, 95, 99)],
-    ]
+    )
+    exact = percentiles(keyed, names, "total_seconds", [p / 100 for p in LATENCY])
+    joined = main.join(exact, names, "left")
+    return joined.select(*main.columns, *[shown(F.col(f"p{i}")).alias(f"latency_p{p}") for i, p in enumerate(LATENCY)])
 
 
 def stage_key() -> Column:

@@ -72,14 +72,14 @@ def summary(spark, folder):
 @query(_ONCE + f"select coalesce(book_id, '') as book_id, {_DETAILS} from ({_TIMED}) group by 1")
 def detailed_stats(spark, folder):
     """All statistics of every book."""
-    return metrics(spark, folder).groupBy(blank("book_id").alias("book_id")).agg(*M.details())
+    return M.details(metrics(spark, folder), blank("book_id").alias("book_id"))
 
 
 @query(_ONCE + f"""select case when stage = 'ocr' and coalesce(provider, '') <> '' then 'ocr:' || provider else stage end as stage_key,
   {_DETAILS} from ({_TIMED}) where coalesce(stage, '') <> '' group by 1""")
 def stage_detailed_stats(spark, folder):
     """All statistics of every stage, recognition by provider; calls without stage are left out."""
-    return metrics(spark, folder, blank("stage") != "").groupBy(M.stage_key().alias("stage_key")).agg(*M.details())
+    return M.details(metrics(spark, folder, blank("stage") != ""), M.stage_key().alias("stage_key"))
 
 
 def _by(key: str):

@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 from io import BytesIO
 
@@ -19,12 +20,25 @@ CALL = "cost_usd double, total_tokens int, prompt_tokens int, completion_tokens
 
 def test_details_ignore_calls_without_time(spark):
     df = spark.createDataFrame([(0.1, 5, 1, 1, None, t, s, "ocr", "p") for t, s in ((0.0, True), (2.0, None), (4.0, True), (None, False))], CALL)
-    r = df.agg(*M.details()).first()
+    r = M.details(df, F.col("stage")).first()
     assert (r["count"], r["success_count"], r["error_count"]) == (4, 2, 2)
     assert (r["latency_min"], r["latency_avg"], r["latency_p50"], r["latency_p95"]) == (2.0, 3.0, 3.0, 3.9)
     assert r["total_cost_usd"] == 0.4 and r["avg_tokens"] == 5.0
-    empty = df.limit(0).agg(*M.details()).first()
-    assert empty["count"] == 0 and empty["avg_cost_usd"] == 0 and empty["latency_p99"] == 0
+    still = M.details(df.withColumn("total_seconds", F.lit(None).cast("double")), F.col("stage")).first()
+    assert still["latency_p99"] == still["latency_max"] == 0
+    assert M.details(df.limit(0), F.col("stage")).count() == 0
+    assert df.limit(0).agg(*M.summary()).first()["avg_cost_usd"] == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_percentiles_are_exact(spark, seed):
+    r = random.Random(seed)
+    data = [(r.choice("aaab"), r.choice([0.0, -1.0, 0.5, 2.0, round(r.lognormvariate(0, 3), 3), None])) for _ in range(3000)] + [("one", 7.0), ("none", 0.0)]
+    df = spark.createDataFrame(data, "k string, x double")
+    probs = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+    want = df.where("x > 0").groupBy("k").agg(*[F.percentile("x", F.lit(p)).alias(f"p{i}") for i, p in enumerate(probs)])
+    got = {x["k"]: tuple(x)[1:] for x in M.percentiles(df, ["k"], "x", probs).collect()}
+    assert {x["k"]: pytest.approx(tuple(x)[1:]) for x in want.collect()} == got
 
 
 def test_stage_keys_and_filters(spark, rows):
