@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numerals as N
 from ..functions import text as T
 from ..operators import pages as P
-from ..sources.tables import blank, metrics, table
+from ..sources.tables import blank, metrics, table, zero
 from .chapter_queries import books, chapters, pages
 from .page_queries import _B, _CATEGORIES, _P, _sql_hits
 
@@ -92,13 +92,13 @@ def timestamps_parsed(spark, folder):
     return t.select("unique_key", "raw", F.coalesce(F.date_format(F.try_to_timestamp("raw"), "yyyy-MM-dd"), F.lit("")).alias("parsed"))
 
 
-@query("""select unique_key, created_at, coalesce(duration_ms, -1) as duration_ms, row_number() over (partition by unique_key order by created_at, coalesce(duration_ms, -1)) as version,
+@query("""select unique_key, epoch_us(created_at) as created_us, coalesce(duration_ms, -1) as duration_ms, row_number() over (partition by unique_key order by created_at, coalesce(duration_ms, -1)) as version,
   lead(created_at) over (partition by unique_key order by created_at, coalesce(duration_ms, -1)) is null as current from audio_segment""")
 def version_numbers(spark, folder):
     """Every version of every segment, numbered."""
-    s = table(spark, folder, "audio_segment", "unique_key", "created_at", F.coalesce("duration_ms", F.lit(-1)).alias("duration_ms"))
-    w = Window.partitionBy("unique_key").orderBy("created_at", "duration_ms")
-    return s.select("*", F.row_number().over(w).cast("long").alias("version"), F.lead("created_at").over(w).isNull().alias("current"))
+    s = table(spark, folder, "audio_segment", "unique_key", F.unix_micros("created_at").alias("created_us"), F.coalesce("duration_ms", F.lit(-1)).alias("duration_ms"))
+    w = Window.partitionBy("unique_key").orderBy("created_us", "duration_ms")
+    return s.select("*", F.row_number().over(w).cast("long").alias("version"), F.lead("created_us").over(w).isNull().alias("current"))
 
 
 @query("""select page_id, provider, case when confidence >= 0.9 then 'high' when confidence >= 0.8 then 'medium' else 'low' end as level from (select distinct page_id, provider, confidence from ocr_result)""")
@@ -152,3 +152,67 @@ def headings_listed(spark, folder):
     p = table(spark, folder, "page", "_docid", "headings").groupBy("_docid").agg(F.any_value("headings").alias("h")).where("size(h) > 0")
     listed = F.array_join(F.transform("h", lambda x: F.concat_ws(":", x["level"].cast("string"), x["line_number"].cast("string"), x["text"])), "|")
     return p.select("_docid", F.size("h").cast("long").alias("headings"), listed.alias("listed"))
+
+
+@query("""with b as (select _docid as book_id, coalesce(status, '') as stored from book), l as (select book_id, max_by(stage, (created_at, _docid)) as live from metric
+  where book_id is not null and coalesce(stage, '') <> '' and created_at > timestamptz '2025-09-01 00:00:00+00' group by 1)
+select b.book_id, case when live is not null then 'running:' || live else stored end as status, live is not null as is_live from b left join l on l.book_id = b.book_id""")
+def live_overlay(spark, folder):
+    """Stored status of every book, with the stage of its latest call in its place where there is a recent one."""
+    b = table(spark, folder, "book", F.col("_docid").alias("book_id"), blank("status").alias("stored"))
+    recent = table(spark, folder, "metric", "_docid", "book_id", "stage", "created_at").where(
+        (F.col("created_at") > F.lit("2025-09-01T00:00:00Z").cast("timestamp")) & F.col("book_id").isNotNull() & (F.col("stage") != "")
+    )
+    live = recent.groupBy("book_id").agg(F.max_by("stage", F.struct("created_at", "_docid")).alias("live"))
+    j = b.join(live, "book_id", "left")
+    return j.select("book_id", F.coalesce(F.concat(F.lit("running:"), "live"), "stored").alias("status"), F.col("live").isNotNull().alias("is_live"))
+
+
+@query(f"""with {_P}, {_CH}, r as (select book_id, 1 as a, min(start_page) - 1 as z from c where start_page is not null group by 1)
+select p.book_id, p.page_num, p.ocr_markdown as text from p join r on r.book_id = p.book_id and p.page_num between a and z where coalesce(ocr_complete, false) and trim(coalesce(ocr_markdown, ''), ' ' || chr(10)) <> ''""")
+def toc_pages(spark, folder):
+    """Pages with text before a book's first chapter, where contents lists stand."""
+    first = chapters(spark, folder, "start_page").groupBy("book_id").agg((F.min("start_page") - 1).alias("z")).where("z is not null")
+    p = pages(spark, folder, "ocr_markdown", "ocr_complete").where("ocr_complete").where(F.regexp_replace(blank("ocr_markdown"), r"^[ \n]+|[ \n]+$", "") != "")
+    return p.join(first, "book_id").where(F.col("page_num").between(F.lit(1), F.col("z"))).select("book_id", "page_num", F.col("ocr_markdown").alias("text"))
+
+
+@query(f"""with {_CH} select unique_key, (row_number() over (partition by book_id order by sort_order nulls last, unique_key) - 1)::int as position from c where start_page is not null""")
+def resort_stable(spark, folder):
+    """Places of linked chapters from 0 in their present order."""
+    c = chapters(spark, folder, "sort_order", "start_page").where("start_page is not null")
+    w = Window.partitionBy("book_id").orderBy(F.col("sort_order").asc_nulls_last(), "unique_key")
+    return c.select("unique_key", (F.row_number().over(w) - 1).alias("position"))
+
+
+@query("""select coalesce(output_type, '') as category, count(*) as calls, count(*) filter (coalesce(success, false)) as good, count(*) filter (not coalesce(success, false)) as bad,
+  count(distinct job_id) as jobs, coalesce(sum(completion_tokens), 0)::bigint as produced from (select distinct * from metric) group by 1""")
+def log_summary(spark, folder):
+    """Calls by kind of output: good, bad, jobs and tokens made. Jobs are told apart by a second grouping, so
+    that a hot kind holds no set of them in one task."""
+    m = metrics(spark, folder).select(blank("output_type").alias("category"), "job_id", F.coalesce("success", F.lit(False)).alias("ok"), zero("completion_tokens").alias("t"))
+    by_job = m.groupBy("category", "job_id").agg(F.count("*").alias("calls"), F.count_if("ok").alias("good"), F.sum("t").alias("t"))
+    return by_job.groupBy("category").agg(
+        F.sum("calls").alias("calls"), F.sum("good").alias("good"), (F.sum("calls") - F.sum("good")).alias("bad"), F.count("job_id").alias("jobs"), F.sum("t").alias("produced")
+    )
+
+
+_PRINTED = r"^[\[(*\- ]*([0-9]{1,4})[\])*\- ]*$"
+
+
+@query(f"""with {_P}, n as (select book_id, page_num, regexp_extract(coalesce(nullif(footer, ''), header, ''), '{_PRINTED}', 1) as printed from p),
+ d as (select book_id, page_num, printed::int - page_num as shift from n where printed <> ''),
+ f as (select *, case when lag(shift) over w is distinct from shift then 1 else 0 end as new from d window w as (partition by book_id order by page_num)),
+ r as (select *, sum(new) over (partition by book_id order by page_num) as run from f)
+select book_id, min(page_num) as first_page, max(page_num) as last_page, max(shift) as shift, count(*) as pages from r group by book_id, run""")
+def page_number_sequences(spark, folder):
+    """Runs of pages whose printed number stays as far from their place in the scan."""
+    at = F.coalesce(F.nullif("footer", F.lit("")), F.col("header"), F.lit(""))
+    n = pages(spark, folder, "footer", "header").select("book_id", "page_num", F.regexp_extract(at, _PRINTED, 1).alias("printed")).where("printed <> ''")
+    d = n.select("book_id", "page_num", (F.col("printed").cast("int") - F.col("page_num")).alias("shift"))
+    w = Window.partitionBy("book_id").orderBy("page_num")
+    new = (~F.lag("shift").over(w).eqNullSafe(F.col("shift"))).cast("int")
+    r = d.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    return r.groupBy("book_id", "run").agg(
+        F.min("page_num").alias("first_page"), F.max("page_num").alias("last_page"), F.max("shift").alias("shift"), F.count("*").alias("pages")
+    ).drop("run")

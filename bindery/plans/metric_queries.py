@@ -35,28 +35,28 @@ def query(sql: str | None = None):
     return add
 
 
-@query(_ONCE + """select _docid, book_id, stage, provider, cost_usd, created_at from m
+@query(_ONCE + """select _docid, book_id, stage, provider, coalesce(cost_usd, 0) as cost_usd, epoch_us(created_at) as created_us from m
 where stage = 'ocr' and provider = 'inkscan' and coalesce(success, false)
   and created_at > timestamptz '2025-03-01 00:00:00+00' and created_at < timestamptz '2025-09-01 00:00:00+00'""")
 def metric_list_filtered(spark, folder):
     """Calls by equality filters, success and strict time bounds."""
     log = table(spark, folder, "metric")
-    found = M.matching(log, "2025-03-01 00:00:00", "2025-09-01 00:00:00", True, stage="ocr", provider="inkscan").dropDuplicates(["_docid"])
-    return found.select("_docid", "book_id", "stage", "provider", "cost_usd", "created_at")
+    found = M.matching(log, "2025-03-01T00:00:00Z", "2025-09-01T00:00:00Z", True, stage="ocr", provider="inkscan").dropDuplicates(["_docid"])
+    return found.select("_docid", "book_id", "stage", "provider", zero("cost_usd").alias("cost_usd"), F.unix_micros("created_at").alias("created_us"))
 
 
-@query(_ONCE + "select _docid, created_at, coalesce(cost_usd, 0) as cost_usd from m order by created_at desc, _docid limit 100 offset 50")
+@query(_ONCE + "select _docid, epoch_us(created_at) as created_us, coalesce(cost_usd, 0) as cost_usd from m order by created_at desc, _docid limit 100 offset 50")
 def llmcall_page(spark, folder):
     """One page of the log, newest first, with limit and offset over a total order."""
-    m = metrics(spark, folder).select("_docid", "created_at", zero("cost_usd").alias("cost_usd"))
-    return m.orderBy(F.desc("created_at"), "_docid").offset(50).limit(100)
+    m = metrics(spark, folder).select("_docid", F.unix_micros("created_at").alias("created_us"), zero("cost_usd").alias("cost_usd"))
+    return m.orderBy(F.desc("created_us"), "_docid").offset(50).limit(100)
 
 
-@query("""select blank as stage, min(created_at) as first_call, max(created_at) as last_call
+@query("""select blank as stage, epoch_us(min(created_at)) as first_us, epoch_us(max(created_at)) as last_us
 from (select coalesce(stage, '') as blank, created_at from metric) group by blank""")
 def metric_time_bounds(spark, folder):
     m = table(spark, folder, "metric", "stage", "created_at")
-    return m.groupBy(blank("stage").alias("stage")).agg(F.min("created_at").alias("first_call"), F.max("created_at").alias("last_call"))
+    return m.groupBy(blank("stage").alias("stage")).agg(F.unix_micros(F.min("created_at")).alias("first_us"), F.unix_micros(F.max("created_at")).alias("last_us"))
 
 
 @query(_ONCE + f"select {_COST} as total_cost_usd, {_TOKENS.format('total_tokens')} as total_tokens, {_TIME} as total_time_seconds from m")
@@ -176,24 +176,25 @@ def metric_chapter_attribution(spark, folder):
     )
 
 
-@query(_ONCE + """select job_id, count(*) as calls, min(created_at) as started_at, max(created_at) as completed_at,
+@query(_ONCE + """select job_id, count(*) as calls, epoch_us(min(created_at)) as started_us, epoch_us(max(created_at)) as completed_us,
   (floor(epoch(max(created_at))) - floor(epoch(min(created_at))))::bigint as duration_seconds from m where job_id is not null group by 1""")
 def job_spans(spark, folder):
     """First and last call of every job and the seconds between."""
     return metrics(spark, folder, "job_id is not null").groupBy("job_id").agg(
         F.count("*").alias("calls"),
-        F.min("created_at").alias("started_at"),
-        F.max("created_at").alias("completed_at"),
+        F.unix_micros(F.min("created_at")).alias("started_us"),
+        F.unix_micros(F.max("created_at")).alias("completed_us"),
         (F.unix_seconds(F.max("created_at")) - F.unix_seconds(F.min("created_at"))).alias("duration_seconds"),
     )
 
 
-@query("""select _docid, created_at, stage, total_seconds from (select distinct * from metric) where success is not true
+@query("""select _docid, epoch_us(created_at) as created_us, coalesce(stage, '') as stage, coalesce(total_seconds, 0) as total_seconds from (select distinct * from metric) where success is not true
 order by created_at desc, _docid limit 20""")
 def recent_runs_topk(spark, folder):
     """The twenty newest calls that didn't succeed."""
     failed = metrics(spark, folder, ~F.coalesce("success", F.lit(False)))
-    return failed.select("_docid", "created_at", "stage", "total_seconds").orderBy(F.desc("created_at"), "_docid").limit(20)
+    shown = failed.select("_docid", F.unix_micros("created_at").alias("created_us"), blank("stage").alias("stage"), zero("total_seconds").alias("total_seconds"))
+    return shown.orderBy(F.desc("created_us"), "_docid").limit(20)
 
 
 @query(_ONCE + """select case when p >= 20 then 'high' when p >= 10 then 'normal' else 'low' end as band, count(*) as calls from (

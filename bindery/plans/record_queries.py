@@ -41,13 +41,13 @@ def latest_per_key(spark, folder):
     return segments(spark, folder, "char_count").select("unique_key", F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"), F.coalesce("char_count", F.lit(0)).alias("char_count"))
 
 
-@query("""select unique_key, max_by(coalesce(duration_ms, 0), (created_at, coalesce(duration_ms, -1))) as duration_ms, max(created_at) as created_at
+@query("""select unique_key, max_by(coalesce(duration_ms, 0), (created_at, coalesce(duration_ms, -1))) as duration_ms, epoch_us(max(created_at)) as created_us
 from audio_segment where created_at <= timestamptz '2025-06-30 00:00:00+00' group by 1""")
 def time_travel(spark, folder):
     """Segments as they were at a time."""
     s = table(spark, folder, "audio_segment", "unique_key", "duration_ms", "created_at").withColumn("_d", F.coalesce("duration_ms", F.lit(-1)))
-    out = V.as_of(s, ["unique_key"], "created_at", F.lit("2025-06-30 00:00:00").cast("timestamp"), ["_d"])
-    return out.select("unique_key", F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"), "created_at")
+    out = V.as_of(s, ["unique_key"], "created_at", F.lit("2025-06-30T00:00:00Z").cast("timestamp"), ["_d"])
+    return out.select("unique_key", F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"), F.unix_micros("created_at").alias("created_us"))
 
 
 @query(f"""with {_S} select unique_key, book_id, chapter_idx, paragraph_idx,

@@ -56,12 +56,14 @@ def streaming_cost_by_stage(spark, folder):
     return out.where(F.col("batch") == last).drop("batch")
 
 
-@query(f"""select date_trunc('day', created_at) as window_start, coalesce(stage, '') as stage, count(*) as calls, {_COST} as cost_usd from metric
-group by 1, 2 having date_trunc('day', created_at) + interval 2 day <= (select max(created_at) from metric)""")
+@query(f"""with d as (select *, epoch_us(created_at) // 86400000000 * 86400000000 as day from metric)
+select day as window_us, coalesce(stage, '') as stage, count(*) as calls, {_COST} as cost_usd from d
+group by 1, 2 having day + 2 * 86400000000 <= (select epoch_us(max(created_at)) from metric)""")
 def streaming_daily_cost(spark, folder):
     """Calls and cost by day and stage over a stream, of the days that are final: a day is when a day more
     has passed."""
-    return _run(spark, sinks.windowed(_metric_stream(spark, folder), "created_at", "1 day", "1 day", "stage"), "append").drop("batch")
+    out = _run(spark, sinks.windowed(_metric_stream(spark, folder), "created_at", "1 day", "1 day", "stage"), "append")
+    return out.select(F.unix_micros("window_start").alias("window_us"), "stage", "calls", "cost_usd")
 
 
 @query("""select distinct _docid, book_id, sort_order, start_page from chapter where level = 1 and start_page >= 5 and start_page < 20 and matter_type in ('body', 'front_matter')
@@ -73,11 +75,11 @@ def builder_query(spark, folder):
     return found.orderBy(F.desc("start_page"), "_docid").limit(50)
 
 
-@query("""select _docid, max_by(total_seconds, created_at) as total_seconds from metric where created_at <= timestamptz '2025-06-01 00:00:00+00' and true group by 1
+@query("""select _docid, coalesce(max_by(total_seconds, created_at), 0) as total_seconds from metric where created_at <= timestamptz '2025-06-01 00:00:00+00' and true group by 1
 having max_by(stage, created_at) = 'tts'""")
 def builder_as_of(spark, folder):
     """The builder's reading at a version."""
-    return Query("metric").as_of("2025-06-01 00:00:00").filter("stage", "tts").fields("_docid", "total_seconds").build(spark, folder)
+    return Query("metric").as_of("2025-06-01T00:00:00Z").filter("stage", "tts").fields("_docid", "total_seconds").build(spark, folder).na.fill(0.0)
 
 
 @query("select _docid, title, coalesce(author, '') as author, page_count, status from book")
