@@ -68,11 +68,11 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float])
     mustn't be null.
 
     A group of any size is no burden for one task: equal values are counted before the shuffle, the
-    counts of cells of a sixteenth of a power of two are summed up, and only the few cells that hold a
-    wanted rank are sorted.
+    counts of cells of 1/256 of a power of two are summed up, and only the few cells that hold a wanted
+    rank are sorted.
     """
     v = F.col(value)
-    cell = F.floor(F.log2(v) * 16)
+    cell = F.floor(F.log2(v) * 256)
     values = df.where(v > 0).select(*keys, cell.alias("_cell"), v.alias("_v")).groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_n"))
     own = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_c").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

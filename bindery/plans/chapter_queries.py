@@ -298,6 +298,6 @@ def book_state(spark, folder):
     """Everything known of a book, counted: each table is reduced to a row per book before it is joined."""
     p = pages(spark, folder, "ocr_complete").groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if("ocr_complete").alias("ocr_pages"))
     c = chapters(spark, folder).groupBy("book_id").agg(F.count("*").alias("chapters"))
-    s = table(spark, folder, "audio_segment", "book_id", "unique_key").groupBy("book_id").agg(F.count_distinct("unique_key").alias("segments"))
+    s = table(spark, folder, "audio_segment", "book_id", "unique_key").distinct().groupBy("book_id").agg(F.count("*").alias("segments"))
     out = books(spark, folder).join(p, "book_id", "left").join(c, "book_id", "left").join(s, "book_id", "left")
     return out.na.fill(0, ["pages", "ocr_pages", "chapters", "segments"])
