@@ -53,10 +53,27 @@ def islands(df: DataFrame, group: list[str], value: str, max_gap: int, min_size:
     )
 
 
-def offsets(df: DataFrame, group: list[str], order: list, length: str) -> DataFrame:
-    """``offset``: the sum of the lengths before, 0 for the first; null lengths count 0."""
-    past = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(F.coalesce(length, F.lit(0))).over(past), F.lit(0)).cast("long"))
+def offsets(df: DataFrame, group: list[str], order: list[str], length: str, cell: Column | None = None) -> DataFrame:
+    """``offset``: the sum of the lengths before, 0 for the first; null lengths count 0.
+
+    With ``cell``, which must grow with the order, a group of any size is no burden for one task: the
+    lengths of cells are summed up first, and rows are ordered in their cell only.
+    """
+    own = F.coalesce(length, F.lit(0))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if cell is None:
+        past = before(Window.partitionBy(*group).orderBy(*order))
+        return df.withColumn("offset", F.coalesce(F.sum(own).over(past), F.lit(0)).cast("long"))
+    celled = df.withColumn("_cell", cell)
+    sums = celled.groupBy(*group, "_cell").agg(F.sum(own).alias("_sum"))
+    past = before(Window.partitionBy(*group).orderBy(F.col("_cell").asc_nulls_first()))
+    starts = sums.select(*group, "_cell", F.coalesce(F.sum("_sum").over(past), F.lit(0)).alias("_start"))
+    same = [celled[c].eqNullSafe(starts[c]) for c in [*group, "_cell"]]
+    inside = before(Window.partitionBy(*[celled[c] for c in [*group, "_cell"]]).orderBy(*[celled[c] for c in order]))
+    return celled.join(starts, same).select(
+        *[celled[c] for c in df.columns if c.lower() != "offset"],
+        (F.col("_start") + F.coalesce(F.sum(F.coalesce(celled[length], F.lit(0))).over(inside), F.lit(0))).cast("long").alias("offset"),
+    )
 
 
 def latest(df: DataFrame, keys: list[str], version: list) -> DataFrame:

@@ -55,7 +55,7 @@ def time_travel(spark, folder):
 def audio_offsets(spark, folder):
     """Where each segment starts in its chapter."""
     s = segments(spark, folder, "book_id", "chapter_idx", "paragraph_idx")
-    return W.offsets(s, ["book_id", "chapter_idx"], ["paragraph_idx", "unique_key"], "duration_ms").select(
+    return W.offsets(s, ["book_id", "chapter_idx"], ["paragraph_idx", "unique_key"], "duration_ms", F.floor(F.col("paragraph_idx") / 256)).select(
         "unique_key", "book_id", "chapter_idx", "paragraph_idx", F.col("offset").alias("start_ms")
     )
 
@@ -100,7 +100,7 @@ select book_id, chapter_idx, string_agg(printf('<par id="p%d"><audio clipBegin="
 from o group by 1, 2""")
 def smil_lines(spark, folder):
     """Media overlay of every chapter and its length on the clock."""
-    s = W.offsets(segments(spark, folder, "book_id", "chapter_idx", "paragraph_idx"), ["book_id", "chapter_idx"], ["paragraph_idx", "unique_key"], "duration_ms")
+    s = W.offsets(segments(spark, folder, "book_id", "chapter_idx", "paragraph_idx"), ["book_id", "chapter_idx"], ["paragraph_idx", "unique_key"], "duration_ms", F.floor(F.col("paragraph_idx") / 256))
     end = F.col("offset") + F.coalesce("duration_ms", F.lit(0)).cast("long")
     line = F.concat(F.format_string('<par id="p%d"><audio clipBegin="', "paragraph_idx"), T.smil_time(F.col("offset")), F.lit('" clipEnd="'), T.smil_time(end), F.lit('"/></par>'))
     parts = F.array_sort(F.collect_list(F.struct("paragraph_idx", "unique_key", line.alias("l"))))

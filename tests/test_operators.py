@@ -66,7 +66,8 @@ def test_gaps_islands_offsets(spark, rows):
     df = spark.createDataFrame([("b", p) for p in (1, 3, 5, 9)], "g string, p int")
     assert rows(W.islands(df, ["g"], "p", 2, 3)) == [("b", 1, 5, 3)]
     df = spark.createDataFrame([("c", 1, 10), ("c", 2, 20), ("c", 3, 5), ("c", 4, None)], "c string, i int, d int")
-    assert [r["offset"] for r in W.offsets(df, ["c"], ["i"], "d").orderBy("i").collect()] == [0, 10, 30, 35]
+    for cell in (None, F.floor(F.col("i") / 2), F.lit(None).cast("int")):
+        assert [r["offset"] for r in W.offsets(df, ["c"], ["i"], "d", cell).orderBy("i").collect()] == [0, 10, 30, 35]
 
 
 def test_merged_text(spark):
