@@ -49,7 +49,8 @@ def key_pages(docs: DataFrame, fields: list[str]) -> DataFrame:
                 ps.extend([page] * len(own))
             yield pd.DataFrame({"h": np.array(hs, dtype="int64"), "p": np.array(ps, dtype="int64")})
 
-    return _source(docs, fields).mapInPandas(read, "h long, p long").groupBy("h").agg(F.count_distinct("p").alias("pages"))
+    # Told apart before they are counted by key alone: a key may be on a third of all pages.
+    return _source(docs, fields).mapInPandas(read, "h long, p long").distinct().groupBy("h").agg(F.count("*").alias("pages"))
 
 
 def hub_keys(docs: DataFrame, fields: list[str], counts: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def repeated_lines(docs: DataFrame, fields: list[str], support: int = SUPPORT) -
     hubs = staged(hub_keys(docs, fields, counts))
     lines = staged(located(docs, fields, hubs))
     strong = staged(
-        lines.groupBy("book", "hub").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= support)
+        lines.select("book", "hub", "page").distinct().groupBy("book", "hub").agg(F.count("*").alias("pages")).where(F.col("pages") >= support)
     )
     found = lines.join(strong.select("book", "hub"), ["book", "hub"]).select("book", "page", "field", "line_no", "hub")
     return found, strong.select("book", F.col("hub").alias("key"), "pages")
@@ -147,8 +148,10 @@ def blocks(found: DataFrame, support: int = SUPPORT) -> DataFrame:
         found.withColumn("next", F.lead("hub").over(after))
         .withColumn("next_no", F.lead("line_no").over(after))
         .where("next_no = line_no + 1 and next <> hub")
-        .groupBy("book", F.least("hub", "next").alias("a"), F.greatest("hub", "next").alias("b"))
-        .agg(F.count_distinct("page").alias("pages"))
+        .select("book", F.least("hub", "next").alias("a"), F.greatest("hub", "next").alias("b"), "page")
+        .distinct()
+        .groupBy("book", "a", "b")
+        .agg(F.count("*").alias("pages"))
         .where(F.col("pages") >= support)
     )
     both = staged(

@@ -38,7 +38,7 @@ def rates(items: DataFrame, targets: DataFrame, source: str, size: str, total: f
     )
 
 
-def mix(items: DataFrame, chosen: DataFrame, source: str, size: str, ids: list[str], salts: int = 16) -> DataFrame:
+def mix(items: DataFrame, chosen: DataFrame, source: str, size: str, ids: list[str], salts: int | None = None) -> DataFrame:
     """``repeats`` of each item of the mix, by systematic sampling at the rates of ``rates``.
 
     Items of a source stand in the order of their size. Each takes a stretch as long as its expected

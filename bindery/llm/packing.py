@@ -56,7 +56,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return slots, made
 
 
-def pack(items: DataFrame, size: str, ids: list[str], capacity: int = 2048, salts: int = 16) -> DataFrame:
+def pack(items: DataFrame, size: str, ids: list[str], capacity: int = 2048, salts: int | None = None) -> DataFrame:
     """Put every item into a container: the columns of ``items`` plus ``part``, ``part_start``,
     ``part_size`` and ``container``.
 

@@ -60,7 +60,7 @@ def _daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
     ).select(
         "_docid",
         F.to_date("created_at").alias("day"),
-        F.pmod(F.xxhash64("_docid"), F.lit(4)).alias("salt"),
+        F.pmod(F.xxhash64("_docid"), F.lit(tokens.default_salts(spark, 4, 8))).alias("salt"),
         blank("provider").alias("provider"),
         blank("stage").alias("stage"),
         zero("cost_usd").alias("cost_usd"),
@@ -125,7 +125,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The blocks of repeated lines of every book, with the pages each line appears on."""
     found = _repeated(spark, folder)
-    pages = found.groupBy("book", "hub").agg(F.count_distinct("page").alias("pages"))
+    pages = found.select("book", "hub", "page").distinct().groupBy("book", "hub").agg(F.count("*").alias("pages"))
     return boilerplate.blocks(found).join(pages, ["book", "hub"]).select(
         F.col("book").alias("book_id"), "block", F.col("hub").alias("line_key"), "pages"
     )

@@ -6,7 +6,7 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,13 +35,20 @@ def token_count(text: Column, path: str = DEFAULT_TOKENIZER) -> Column:
     return count(text)
 
 
-def ranked(df: DataFrame, groups: list[str], coarse: list[str], ids: list[str], salts: int = 16) -> DataFrame:
+def default_salts(spark: SparkSession, least: int, share: int) -> int:
+    """Buckets for a hot group: so many at least, and a share of the shuffle's partitions, so that a group
+    with a third of all rows keeps a large cluster busy."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
+
+
+def ranked(df: DataFrame, groups: list[str], coarse: list[str], ids: list[str], salts: int | None = None) -> DataFrame:
     """``rank`` (from 0) of each row in its group, ordered by ``coarse`` and then by a hash of ``ids``.
 
     No task holds a group: rows are counted by group, coarse value and hash bucket (combined before
     the shuffle), the counts are summed up into offsets, and a row's rank is its bucket's offset plus
     its place in the bucket. ``df`` is read twice and should be staged.
     """
+    salts = salts or default_salts(df.sparkSession, 16, 4)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
     bucket = [*groups, *coarse, "_salt"]
     order = Window.partitionBy(*groups).orderBy(*coarse, "_salt").rowsBetween(Window.unboundedPreceding, -1)
