@@ -101,6 +101,24 @@ def p3_percentiles_of_mondays(spark: SparkSession, folder: str) -> DataFrame:
     return _percentiles(_daily_sketches(spark, folder).where("weekday(day) = 0"))
 
 
+def p3_file_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """The sketch of each file of the log, to be put together for any files. A call that is in several files
+    counts in the first of them by name only, so that it counts once in all of them together."""
+    calls = table(spark, folder, "metric", "*").select(
+        "_docid",
+        F.struct(
+            F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"),
+            blank("provider").alias("provider"),
+            blank("stage").alias("stage"),
+            zero("cost_usd").alias("cost_usd"),
+            zero("execution_seconds").alias("execution_seconds"),
+        ).alias("call"),
+    )
+    once = calls.groupBy("_docid").agg(F.min("call").alias("call")).select("call.*")
+    parts = quantiles.sketches(once, ["file", "provider", "stage"], ["cost_usd", "execution_seconds"])
+    return quantiles.merged(parts, ["file", "provider", "stage"])
+
+
 # p6: repeated lines
 
 FIELDS = ["header", "footer", "ocr_markdown"]
@@ -274,6 +292,7 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p3_percentiles": p3_percentiles,
     "p3_daily_sketches": p3_daily_sketches,
+    "p3_file_sketches": p3_file_sketches,
     "p3_percentiles_of_mondays": p3_percentiles_of_mondays,
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,

@@ -30,3 +30,42 @@ def test_p1_against_sql(spark, data):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{data}/{f}')")
     want = sorted(con.execute(Q.SQL["p1_found"]).fetchall())
     assert sorted(tuple(r) for r in Q.p1_found(spark, data).collect()) == want
+
+
+def test_percentiles_count_every_call_once(spark, data):
+    import numpy as np
+    import pandas as pd
+
+    m = pd.read_parquet(f"{data}/metric.parquet").drop_duplicates("_docid")
+    m["provider"], m["stage"] = m.provider.fillna(""), m.stage.fillna("")
+    got = Q.p3_percentiles(spark, data).where("day is null").toPandas()
+    assert got.groupby("measure").n.sum().to_dict() == {"cost_usd": len(m), "execution_seconds": len(m)}
+    for r in got.itertuples():
+        x = np.sort(m[(m.provider == r.provider) & (m.stage == r.stage)][r.measure].fillna(0).to_numpy())
+        assert len(x) == r.n
+        if r.n < 384:
+            assert [r.p50, r.p90, r.p95, r.p99] == [x[int(np.ceil(p * r.n)) - 1] for p in (0.5, 0.9, 0.95, 0.99)]
+    files = Q.p3_file_sketches(spark, data)
+    from bindery.llm.quantiles import read_quantiles
+
+    assert sum(r["n"] for r in read_quantiles(files, [0.5]).collect()) == 2 * len(m)
+
+
+def test_containers_and_shares(spark, data):
+    packed = Q.p7_packed(spark, data).toPandas()
+    fill = packed.groupby("container").part_size.sum()
+    assert fill.max() <= Q.CAPACITY and set(packed[packed.part > 1].doc_id) <= set(packed[packed.tokens > Q.CAPACITY].doc_id)
+    assert packed.groupby("doc_id").part_size.sum().to_dict() == packed.groupby("doc_id").tokens.first().to_dict()
+    shares = Q.p8_shares(spark, data).toPandas()
+    assert abs(shares.actual_share.sum() - 1) < 1e-4 and (shares.most_repeats <= shares.max_repeats).all()
+
+
+def test_pages_without_their_furniture(spark, data):
+    found = {(r["page_id"], r["field"], r["line_no"]) for r in Q.p6_found(spark, data).collect()}
+    before = {r["page"]: r for r in Q._pages(spark, data).collect()}
+    for r in Q.p6_clean(spark, data).collect():
+        for field in Q.FIELDS:
+            text = before[r["page_id"]][field]
+            if text is not None:
+                kept = [x for i, x in enumerate(text.split("\n"), 1) if (r["page_id"], field, i) not in found]
+                assert r[field] == "\n".join(kept)
