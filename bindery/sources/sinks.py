@@ -69,7 +69,7 @@ def epubs(books: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
     def build(ids: pd.Series, titles: pd.Series, authors: pd.Series, chapters: pd.Series) -> pd.Series:
         return pd.Series(
-            [epub(t or "", a or "", i, [dict(c) for c in own]) for i, t, a, own in zip(ids, titles, authors, chapters)]
+            [epub(t or "", a or "", i, [dict(c) for c in own]) for i, t, a, own in zip(ids, titles, authors, chapters)], dtype=object
         )
 
     return books.select("book_id", build("book_id", "title", "author", "chapters").alias("archive"))
