@@ -352,6 +352,7 @@ def score(text: Column, model) -> Column:
         for t in texts:
             s = m.scores(units(t)) if t else ()
             tops.append(float(s.max()) if len(s) else None)
-        return pd.DataFrame({"score": pd.Series(tops, dtype=float), "abusive": [x is not None and x > m.threshold for x in tops]})
+        over = pd.Series([x is not None and x > m.threshold for x in tops], dtype=bool)
+        return pd.DataFrame({"score": pd.Series(tops, dtype=float), "abusive": over})
 
     return run(text)

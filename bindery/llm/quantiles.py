@@ -167,7 +167,7 @@ def read_quantiles(df: DataFrame, probs: list[float]) -> DataFrame:
     @F.pandas_udf("struct<n:long,quantiles:array<double>>")
     def read(data: pd.Series) -> pd.DataFrame:
         own = [Sketch.unpack(x) for x in data]
-        return pd.DataFrame({"n": [s.n for s in own], "quantiles": [s.quantiles(probs) for s in own]})
+        return pd.DataFrame([(s.n, s.quantiles(probs)) for s in own], columns=["n", "quantiles"])
 
     rest = [c for c in df.columns if c != "sketch"]
     return df.select(*rest, read("sketch").alias("r")).select(*rest, "r.n", "r.quantiles")

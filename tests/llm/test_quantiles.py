@@ -40,7 +40,7 @@ def test_small_sets_are_exact():
 
 def test_frame(spark, rows):
     data = [("a", float(i), None if i % 2 else 1.0) for i in range(500)] + [(None, 5.0, float("nan")), ("b", None, None)]
-    df = spark.createDataFrame(data, "k string, x double, y double").repartition(5)
+    df = spark.createDataFrame(data, "k string, x double, y double").repartition(64)
     got = read_quantiles(merged(sketches(df, ["k"], ["x", "y"]), ["k"]), [0.5, 0.99])
     assert [(r[0], r[1], r[2], list(r[3])) for r in rows(got)] == [
         ("a", "x", 500, [249.0, 494.0]),
