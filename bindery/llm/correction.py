@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from math import log
 
 # What scanners read (right) for what is printed (left).
@@ -41,13 +42,15 @@ FOREIGN = frozenset("@€†ſ|($0123456789ﬁﬂ")
 
 #: Cost of a confusion of the table and of any other single edit; the greatest total.
 CONFUSED, OTHER, BUDGET = 1, 2, 2
+#: Taken from the score of a reading that is likely a misread word itself.
+DOUBTED = 1000.0
 
 
 class Trie:
     """The vocabulary as nested dicts; the empty key of a node holds the word that ends there."""
 
-    def __init__(self, words: dict[str, int]) -> None:
-        self.counts = words
+    def __init__(self, words: dict[str, int], doubted: frozenset = frozenset()) -> None:
+        self.counts, self.doubted = words, doubted
         self.root: dict = {}
         for w in words:
             node = self.root
@@ -122,11 +125,44 @@ class Trie:
         return out
 
 
-def readings(word: str, count: int, trie: Trie, ratio: float) -> list[tuple[str, float]]:
+class _Either:
+    def __init__(self, *sets: frozenset) -> None:
+        self._sets = sets
+
+    def __contains__(self, v: str) -> bool:
+        return any(v in x for x in self._sets)
+
+
+class Overlay:
+    """A trie of the broadcast words together with the few others that were found near one word."""
+
+    def __init__(self, trie: Trie, more: dict[str, int], doubted: frozenset) -> None:
+        self._parts = (trie, Trie(more))
+        self.counts, self.doubted = ChainMap(more, trie.counts), _Either(trie.doubted, doubted)
+
+    def candidates(self, word: str) -> dict[str, int]:
+        return {v: cost for part in self._parts for v, cost in part.candidates(word).items()}
+
+
+def vocabulary_keys(v: str) -> list[str]:
+    """The shards a word of the vocabulary is in: by length and first letter, and by all but the first letter."""
+    return [f"{len(v)} {v[0]}", "*" + v[1:]]
+
+
+def search_keys(word: str) -> set[str]:
+    """The shards that hold every candidate of ``word``. Two confusions change the length by up to two, and a first
+    letter by the table only; another edit leaves no cost for a second, so one at the first letter leaves the rest as it is."""
+    first = {word[0]} | {printed[0] for printed, read in CONFUSIONS.items() if any(word.startswith(r) for r in read.split())}
+    near = {f"{n} {c}" for c in first for n in range(max(1, len(word) - 2), len(word) + 3)}
+    return near | {"*" + word, "*" + word[1:]} | ({"*" + word[2:]} if len(word) > 1 else set())
+
+
+def readings(word: str, count: int, trie: Trie | Overlay, ratio: float) -> list[tuple[str, float]]:
     """Words that ``word`` is more likely a misreading of than itself, as (word, score), the best first.
 
     Plain letters are doubted only if a word they are confused with is at least ``ratio`` times as
-    frequent; any edit explains a word that holds a foreign character.
+    frequent; any edit explains a word that holds a foreign character. Words that are doubted themselves
+    come after all others.
     """
     foreign = not FOREIGN.isdisjoint(word)
     out = []
@@ -134,10 +170,11 @@ def readings(word: str, count: int, trie: Trie, ratio: float) -> list[tuple[str,
         if v == word or trie.counts[v] < (1 if foreign else ratio) * count:
             continue
         confused = explained(v, word)
+        score = log(trie.counts[v]) - DOUBTED * (v in trie.doubted)
         if confused:
-            out.append((v, log(trie.counts[v]) - 4.0 * confused))
+            out.append((v, score - 4.0 * confused))
         elif foreign and len(word) > 3:
-            out.append((v, log(trie.counts[v]) - 9.0 * cost))
+            out.append((v, score - 9.0 * cost))
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 

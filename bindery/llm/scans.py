@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from ..plans.staging import staged
 from . import lines as L
 from .boilerplate import _keys, with_hubs
-from .correction import FOREIGN, Trie, readings
+from .correction import FOREIGN, Overlay, Trie, readings, search_keys, vocabulary_keys
 
 #: Signs at the end of a line that a word is cut there.
 HYPHENS = "-‐¬\xad"
 _OUTER = ".,;:!?\"'“”„‘’»«*#~[]{}—–_)…¡¿"
-#: A word of the vocabulary makes up this part of all words (so it holds at most half a million), and occurs so often.
-SHARE, LEAST = 2e-6, 4
+#: A word of the vocabulary occurs so often in all, whatever the input's size.
+LEAST = 4
+#: Words of the vocabulary that are broadcast, the most frequent; words of a shard's part that are searched at once.
+BROADCAST, PART = 200_000, 50_000
 #: Plain letters are doubted if another word is so many times as frequent.
 RATIO = 20.0
 #: Readings whose scores are so near are told apart by the word before.
@@ -68,14 +70,75 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def vocabulary(words: DataFrame) -> dict[str, int]:
-    """The words frequent enough to be taken as printed: at most 1 / SHARE of them. Misread forms of
-    frequent words are among them; ``verdicts`` tells them by the still more frequent word."""
-    total = words.agg(F.sum("count")).first()[0] or 0
-    kept = words.where(F.col("count") >= max(LEAST, SHARE * total)).collect()
-    return {
-        r["word"]: r["count"] for r in kept if FOREIGN.isdisjoint(r["word"]) and r["word"][-1] not in HYPHENS
-    }
+def vocabulary(words: DataFrame) -> tuple[dict[str, int], DataFrame | None]:
+    """The words that occur often enough to be taken as printed: the most frequent with their counts, and the
+    others, if there are more than may be broadcast, as ``word, count``. Misread forms of frequent words are
+    among them; ``verdicts`` tells them by the still more frequent word."""
+    odd = "[" + re.escape("".join(sorted(FOREIGN))) + "]"
+    ends = "[" + re.escape(HYPHENS) + "]$"
+    kept = words.where((F.col("count") >= LEAST) & (F.col("word") != "") & ~F.col("word").rlike(odd) & ~F.col("word").rlike(ends))
+    order = [F.desc("count"), F.asc("word")]
+    head = kept.orderBy(*order).limit(BROADCAST + 1).collect()
+    rest = None
+    if len(head) > BROADCAST:
+        last = head[BROADCAST - 1]
+        rest = kept.where((F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.col("word") > last["word"])))
+    return {r["word"]: r["count"] for r in head[:BROADCAST]}, rest
+
+
+def _probes(word: str) -> list[str]:
+    """What is looked up in the vocabulary to judge a word or cut word."""
+    if _CUT not in word:
+        return [word, word[1:]] if word[0] == "(" and len(word) > 1 else [word]
+    a, b = word.split(_CUT)
+    return [x for x in (a, b, a + b, f"{a}-{b}") if x] if b else []
+
+
+def nearby(types: DataFrame, rest: DataFrame) -> DataFrame:
+    """``word, more, ahead, compound``: of each word of ``types``, its candidates ``(v, n)`` among the words of the
+    vocabulary that aren't broadcast, and of parts at a line's end how often longer words of these begin with them,
+    without and with a hyphen.
+
+    Both sides meet in shards (see ``search_keys``). Shards with many words are searched in parts, each by all words
+    that look there; words stream past a trie of one part, so no task holds more than that.
+    """
+
+    def shards(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(k, v, n) for v, n in zip(pdf["word"], pdf["count"]) for k in vocabulary_keys(v)], columns=["key", "v", "n"])
+
+    def searches(batches):
+        for pdf in batches:
+            out = {(k, w, x) for w in pdf["word"] for x in _probes(w) for k in search_keys(x)}
+            yield pd.DataFrame(list(out), columns=["key", "word", "v"])
+
+    held = staged(rest.select("word", "count").mapInPandas(shards, "key string, v string, n long"))
+    parts = held.groupBy("key").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    own = held.join(parts, "key").select("key", F.expr("pmod(xxhash64(v), parts)").cast("int").alias("part"), F.lit("").alias("word"), "v", "n")
+    asked = types.select("word").mapInPandas(searches, "key string, word string, v string").join(parts, "key")
+    asked = asked.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "word", "v", F.lit(0).cast("long").alias("n"))
+
+    def search(batches):
+        at, trie, words = None, None, {}
+        for pdf in batches:
+            out = []
+            for key, part, word, v, n in zip(pdf["key"], pdf["part"], pdf["word"], pdf["v"], pdf["n"]):
+                if (key, part) != at:
+                    at, trie, words = (key, part), None, {}
+                if n:
+                    words[v] = n
+                    continue
+                trie = trie or Trie(words)
+                out += [(word, x, words[x]) for x in trie.candidates(v)]
+            yield pd.DataFrame(out, columns=["word", "v", "n"])
+
+    rows = own.unionByName(asked).repartition("key", "part").sortWithinPartitions("key", "part", F.desc("n"))
+    found = rows.mapInPandas(search, "word string, v string, n long").groupBy("word").agg(F.collect_set(F.struct("v", "n")).alias("more"))
+    starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i)))
+    ahead = rest.where(F.length("word") > 1).select(starts.alias("a"), "count").groupBy("a").agg(F.sum("count").alias("ahead"))
+    ends = types.where(F.col("word").endswith(_CUT)).select("word", F.regexp_replace("word", _CUT, "").alias("a"))
+    ends = ends.join(ahead, "a", "left").withColumn("a", F.concat("a", F.lit("-"))).join(ahead.withColumnRenamed("ahead", "compound"), "a", "left")
+    return found.join(ends.drop("a"), "word", "full")
 
 
 def _differs(printed: str, read: str) -> tuple[int, int]:
@@ -89,10 +152,11 @@ def _differs(printed: str, read: str) -> tuple[int, int]:
     return a, max(a, len(read) - 1 - b)
 
 
-def judge(word: str, count: int, trie: Trie, ordered: list[str]) -> tuple[bool, bool, bool, list[tuple[str, float]]]:
+def judge(word: str, count: int, trie: Trie | Overlay, ordered: list[str], ahead: tuple[int, int] = (0, 0)) -> tuple[bool, bool, bool, list[tuple[str, float]]]:
     """Whether the line's end cuts a word, whether its first part and its second are misread, and the
     readings. ``word`` is a word, or two parts with the sign of a cut between them, of which the second
-    is empty if it stands elsewhere."""
+    is empty if it stands elsewhere. ``ahead``: how often words that aren't in ``ordered`` begin with a part
+    whose rest stands elsewhere, and with it and a hyphen."""
     if _CUT not in word:
         if word[0] == "(" and word[1:] in trie.counts:
             return False, False, False, []
@@ -115,11 +179,12 @@ def judge(word: str, count: int, trie: Trie, ordered: list[str]) -> tuple[bool,
             return total
 
         # A compound breaks at its hyphen far more often than another word is cut at just that place.
-        compound = weight(a + "-")
-        return not (compound and compound * 5 >= weight(a) - compound), odd[0], False, []
+        compound = weight(a + "-") + ahead[1]
+        return not (compound and compound * 5 >= weight(a) + ahead[0] - compound), odd[0], False, []
     solid, compound = a + b, f"{a}-{b}"
-    if compound in trie.counts or solid in trie.counts:
-        whole = trie.counts.get(solid, 0) >= trie.counts.get(compound, 0)
+    sure = {w: trie.counts[w] for w in (solid, compound) if w in trie.counts and w not in trie.doubted}
+    if sure:
+        whole = sure.get(solid, 0) >= sure.get(compound, 0)
         return whole, odd[0], odd[1], [(solid if whole else compound, 0.0)]
     options = [(w, s, True) for w, s in readings(solid, 1, trie, RATIO)] + [
         (w, s, False) for w, s in readings(compound, 1, trie, RATIO)
@@ -133,21 +198,42 @@ def judge(word: str, count: int, trie: Trie, ordered: list[str]) -> tuple[bool,
     return whole, odd[0], odd[1], []
 
 
-def verdicts(types: DataFrame, vocab) -> DataFrame:
+def verdicts(types: DataFrame, vocab, rest: DataFrame | None = None, doubted=None, weak: DataFrame | None = None) -> DataFrame:
     """``word, cut, first, second, readings`` of each word or cut word of ``types(word, count)``; ``vocab``
-    is the vocabulary as a broadcast variable."""
+    is the broadcast part of the vocabulary, ``rest`` the other (see ``vocabulary``). Of the words of these that
+    are doubted themselves, ``doubted`` is a broadcast set, and ``weak(word)`` holds those of ``rest``."""
+    columns = ["word", "count"]
+    types = types.select(*columns)
+    if rest is not None:
+        near = nearby(types, rest)
+        if weak is not None:
+            bad = near.select("word", F.explode("more.v").alias("v")).join(weak.select(F.col("word").alias("v")), "v", "left_semi")
+            near = near.join(bad.groupBy("word").agg(F.collect_set("v").alias("weak")), "word", "left")
+        else:
+            near = near.withColumn("weak", F.lit(None).cast("array<string>"))
+        types = types.join(near, "word", "left")
+        columns += ["more", "ahead", "compound", "weak"]
 
     def run(batches):
-        trie = Trie(vocab.value)
+        trie = Trie(vocab.value, doubted.value if doubted else frozenset())
         ordered = sorted(vocab.value)
         for pdf in batches:
-            rows = [(w, *judge(w, n, trie, ordered)) for w, n in zip(pdf["word"], pdf["count"])]
+            rows = []
+            for w, n, *near in pdf[columns].itertuples(index=False, name=None):
+                if near:
+                    more, ahead, compound, weak = near
+                    more = {x["v"]: x["n"] for x in more} if more is not None else {}
+                    own = Overlay(trie, more, frozenset(weak) if weak is not None else frozenset()) if more else trie
+                    counts = tuple(0 if pd.isna(x) else int(x) for x in (ahead, compound))
+                    rows.append((w, *judge(w, n, own, ordered, counts)))
+                else:
+                    rows.append((w, *judge(w, n, trie, ordered)))
             yield pd.DataFrame(
                 [(w, c, f, s, [{"printed": x, "score": y} for x, y in r[:8]]) for w, c, f, s, r in rows],
                 columns=["word", "cut", "first", "second", "readings"],
             )
 
-    return types.select("word", "count").mapInPandas(
+    return types.mapInPandas(
         run, "word string, cut boolean, first boolean, second boolean, readings array<struct<printed:string,score:double>>"
     )
 
@@ -259,33 +345,43 @@ def findings(texts: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame, D
     """All that is wrong with the lines of ``texts(tab, row_key, book, text)``: furniture lines, words
     with their verdicts, and the contexts of readings that are hard to tell apart.
 
-    Words are counted over all texts; those frequent enough are the vocabulary. For every other word,
-    and for every word of the vocabulary itself, an automaton is run over the vocabulary's trie.
+    Words are counted over all texts; those that occur LEAST times are the vocabulary. For every other word,
+    and for every word of the vocabulary itself, an automaton is run over the vocabulary's trie, of which
+    the words beyond BROADCAST are searched in shards. Words with several readings are judged again when it
+    is known which words of the vocabulary are doubted.
     A second pass emits only words that aren't known to be good, so the shuffle that meets them
     with their verdicts holds a small part of all words. Null and empty texts have no lines.
     """
     sc = texts.sparkSession.sparkContext
     words = staged(word_counts(texts))
-    vocab = sc.broadcast(vocabulary(words))
-    judged = staged(verdicts(words, vocab))
-    doubted = judged.where("first").select("word", "readings")
-    known = vocab.value
-    misread = {r["word"] for r in doubted.select("word").where(F.length("word") > 0).join(
-        texts.sparkSession.createDataFrame([(w,) for w in known] or [("",)], "word string"), "word", "left_semi").collect()}
+    known, rest = vocabulary(words)
+    vocab = sc.broadcast(known)
+    if rest is not None:
+        rest = staged(rest)
+    once = staged(verdicts(words, vocab, rest))
+    names = texts.sparkSession.createDataFrame([(w,) for w in known] or [("",)], "word string")
+    misread = frozenset(r["word"] for r in once.where("first and word <> ''").select("word").join(names, "word", "left_semi").collect())
+    doubted = sc.broadcast(misread)
+    weak = once.where("first").select("word").join(rest, "word", "left_semi") if rest is not None else None
+    several = words.join(once.where("size(readings) > 1").select("word"), "word", "left_semi")
+    judged = staged(once.where("size(readings) <= 1").unionByName(verdicts(several, vocab, rest, doubted, weak)))
     good = sc.broadcast(frozenset(w for w in known if w not in misread))
-    near = doubted.where((F.size("readings") > 1) & (F.col("readings")[0]["score"] - F.col("readings")[1]["score"] < MARGIN))
-    # Readings are words of the vocabulary, which bounds them.
-    watch = sc.broadcast(
-        frozenset(r[0] for r in near.select(F.explode("readings.printed")).distinct().collect())
-    )
+    near = judged.where("first").where((F.size("readings") > 1) & (F.col("readings")[0]["score"] - F.col("readings")[1]["score"] < MARGIN))
+    printed = near.select(F.explode("readings.printed").alias("word")).distinct()
+    # Those among the broadcast words are bounded by them; the others aren't known to be good, so their facts count them.
+    watch = sc.broadcast(frozenset(r[0] for r in printed.join(names, "word", "left_semi").collect()))
     facts = staged(read_lines(texts, hubs, good, watch))
     furniture = facts.where("kind in ('running', 'number')").select("tab", "row_key", "line_no", "kind")
     cut_types = facts.where(F.col("kind") == "word").where(F.col("word").contains(_CUT)).groupBy("word").agg(F.count("*").alias("count"))
-    every = judged.unionByName(verdicts(cut_types, vocab))
+    every = judged.unionByName(verdicts(cut_types, vocab, rest, doubted, weak))
     marked = facts.where(F.col("kind") == "word").join(every.where("cut or first or second or size(readings) > 0"), "word").select(
         "tab", "row_key", "line_no", "rest_no", "word", "before", "cut", "first", "second", "readings"
     )
     contexts = facts.where("kind = 'context'").groupBy("before", "word").agg(F.sum("line_no").alias("times"))
+    if rest is not None:
+        others = printed.join(names, "word", "left_anti")
+        own = facts.where("kind = 'word'").join(others, "word", "left_semi").groupBy("before", "word").agg(F.count("*").alias("times"))
+        contexts = contexts.unionByName(own)
     return furniture, marked, contexts
 
 
