@@ -137,6 +137,17 @@ def identifier_order(spark, folder):
     return c.select("unique_key", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query()
+def identifier_order_by_value(spark, folder):
+    """Chapters by their identifiers: arabic numbers by value, then Roman ones by value, then others by name."""
+    c = chapters(spark, folder, "entry_number", "entry_id")
+    ident = F.coalesce(F.nullif("entry_number", F.lit("")), F.col("entry_id"))
+    arabic = ident.rlike(r"^\d{1,9}$")
+    kind = F.when(arabic, 0).when(N.number_of(ident).isNotNull(), 1).otherwise(2)
+    w = Window.partitionBy("book_id").orderBy(kind, N.number_of(ident), F.lower(ident), "unique_key")
+    return c.select("unique_key", F.row_number().over(w).cast("long").alias("place"))
+
+
 @query("""select stage, calls, row_number() over (order by case stage when 'ocr' then 1 when 'toc' then 2 when 'metadata' then 3 else 4 end, calls desc, stage) as place
 from (select coalesce(stage, '') as stage, count(*) as calls from metric group by 1)""")
 def custom_order(spark, folder):
