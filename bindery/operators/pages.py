@@ -20,18 +20,26 @@ KEYWORDS = {
     ],
 }
 
+#: Those that count at the beginning of a line only.
+LINE_KEYWORDS = {"structure": [r"Chapter\s+[IVX]+", r"Part\s+[IVX]+"]}
+
 
 def keyword_hits(text: Column, categories: dict[str, list[str]] = KEYWORDS) -> Column:
     """``array<struct<category, keywords>>``: distinct words of each category found in a text, sorted.
 
-    The words of a category are one pattern, so a text is scanned once for each category. Words end
-    where ASCII letters, digits or underscores do.
+    Each word is a pattern by itself, so one inside another is found too. Words begin and end where ASCII
+    letters, digits or underscores do, but may go on after a number.
     """
+
+    def patterns(name: str, words: list[str]) -> list[str]:
+        edged = [f"(?i){T.EDGE_A}{w}{'' if w.endswith(chr(92) + 'd+') else T.EDGE_B}" for w in words]
+        return edged + [f"(?mid)^{w}" for w in LINE_KEYWORDS.get(name, [])]
+
     found = [
         F.struct(
             F.lit(name).alias("category"),
             F.array_sort(
-                F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?i){T.EDGE_A}({'|'.join(words)}){T.EDGE_B}"), 1))
+                F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(x), 0) for x in patterns(name, words)])))
             ).alias("keywords"),
         )
         for name, words in categories.items()
