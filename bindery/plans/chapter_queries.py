@@ -276,6 +276,26 @@ def chapter_prompt_lines(spark, folder):
     return c.select("unique_key", F.coalesce("level", F.lit(0)).alias("level"), line.alias("prompt_line"))
 
 
+@query()
+def chapter_classify_lines(spark, folder):
+    """The whole entry of every chapter in a prompt for its classification: number in its book, title, pages, level, words
+    (counted where none are stored) and the first 200 bytes of its text."""
+    c = chapters(spark, folder, "entry_id", "title", "level", "level_name", "start_page", "end_page", "word_count", "sort_order", "mechanical_text")
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy(*_order()))
+    n = lambda k: F.coalesce(k, F.lit(0))
+    text = blank("mechanical_text")
+    words = F.when(n("word_count") != 0, F.col("word_count")).otherwise(F.regexp_count(text, F.lit(r"(?U)\S+")))
+    flat = F.encode(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""), "\n", " "), "UTF-8")
+    # A character that the cut halves is shown as U+FFFD.
+    cut = F.concat(F.make_valid_utf8(F.substring(flat, 1, 200).cast("string")), F.lit("..."))
+    snippet = F.when(F.length(flat) == 0, "[no text]").when(F.length(flat) > 200, cut).otherwise(flat.cast("string"))
+    one = (n("end_page") == 0) | (n("end_page") == n("start_page"))
+    place = F.when(one, F.format_string("page %d", n("start_page"))).otherwise(F.format_string("pages %d-%d", n("start_page"), n("end_page")))
+    line = F.format_string('%d. "%s" (%s, level %d %s, word_count %d) [id: %s]\n   text: %s', "number", blank("title"), "place", n("level"), blank("level_name"), "words", blank("entry_id"), "snippet")
+    made = c.withColumns({"number": number, "place": place, "words": words, "snippet": snippet})
+    return made.select("unique_key", "number", line.alias("prompt_line"))
+
+
 @query(f"""with {_CH}, m as (select book_id, unique_key, coalesce(try_cast(json_extract_string(j, '$.' || entry_id) as varchar), matter_type) as matter_type from c
  join (select book_id as jb, '{{' || string_agg('"' || entry_id || '":"back_matter"', ',') || '}}' as j from (select distinct book_id, entry_id from c where start_page > 20) group by 1) on jb = book_id)
 select * from m""")
