@@ -192,11 +192,25 @@ _islands("match_clusters", 3, 2)
 _islands("dense_clusters", 2, 3)
 
 
+def _snippets(text, pattern: str, most: int = 3, around: int = 50):
+    """The first matches of a pattern, each with the characters around it, which may hold other matches."""
+    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), 0), 1, most)
+    between = F.split(text, pattern, most + 1)
+    size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(y))
+
+    def cut(match, i):
+        start = size(F.slice(between, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
+        first = F.greatest(start - around, F.lit(0))
+        return F.substring(text, first + 1, start + F.length(match) + around - first)
+
+    return F.transform(found, cut)
+
+
 def grep_snippets(spark, folder):
-    """Up to three snippets of fifty characters around the matches of a pattern on each page."""
+    """Up to three snippets on each page: the matches of a pattern with fifty characters on both sides."""
     p = pages(spark, folder, "ocr_markdown").where(F.col("ocr_markdown").rlike("(?i)harbour"))
-    near = F.regexp_extract_all("ocr_markdown", F.lit(r"(?is).{0,50}harbour.{0,50}"), 0)
-    shown = F.transform(F.slice(near, 1, 3), lambda x: F.concat(F.lit("..."), F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("...")))
+    near = _snippets(F.col("ocr_markdown"), "(?i)harbour")
+    shown = F.transform(near, lambda x: F.concat(F.lit("..."), F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("...")))
     return p.select("_docid", F.posexplode(shown).alias("n", "snippet"))
 
 
