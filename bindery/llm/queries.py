@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
@@ -14,6 +14,15 @@ LIMIT, OVERLAP, CAPACITY = 4096, 200, 2048
 PROBS = [0.5, 0.9, 0.95, 0.99]
 
 
+def _once(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the same keys and text once. Rows are told apart by the keys and two numbers made of the text, so
+    that texts are neither shuffled nor compared as keys."""
+    seen = [*keys, "_h", "_n"]
+    numbered = texts.withColumns({"_h": F.xxhash64("text"), "_n": F.length("text")})
+    place = F.row_number().over(Window.partitionBy(*seen).orderBy("_h"))
+    return numbered.withColumn("_k", place).where("_k = 1").drop("_h", "_n", "_k")
+
+
 # p1: oversized texts
 
 
@@ -36,8 +45,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The ordered pieces of every oversized text; rows stored twice give their pieces once."""
-    distinct = _long_texts(spark, folder).dropDuplicates(["field", "row_key", "text"])
-    return split_long(distinct, "text", LIMIT, OVERLAP)
+    return split_long(_once(_long_texts(spark, folder), ["field", "row_key"]), "text", LIMIT, OVERLAP)
 
 
 P1_SQL = """

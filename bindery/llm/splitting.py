@@ -120,7 +120,8 @@ def split_long(df: DataFrame, text: str, limit: int = 4096, overlap: int = 200)
     # Two branches rather than one conditional: an Arrow function is evaluated for every row that reaches it.
     short = df.where(size <= limit).withColumn("_spans", whole)
     long = df.where(size > limit).withColumn("_spans", cut(F.col(text)))
-    rows = short.unionByName(long).select("*", F.posexplode("_spans").alias("_at", "_span"))
+    # An inner explode would make the optimiser ask for the length of the spans first, and cut every text twice.
+    rows = short.unionByName(long).select("*", F.posexplode_outer("_spans").alias("_at", "_span"))
     return rows.select(
         *[
             F.col(text).substr(F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")).alias(c) if c == text else F.col(c)
