@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -24,4 +25,5 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(package.rglob("*.py")):
             z.write(path, Path(package.name) / path.relative_to(package))
     sc.addPyFile(name)
+    atexit.register(Path(name).unlink, missing_ok=True)  # executors fetch it as long as the application runs
     _shipped.add(sc.applicationId)

@@ -12,7 +12,7 @@ from ..operators.query import Query
 from ..sources.tables import blank, table
 from ..streaming import sinks
 from .metric_queries import _COST, _ONCE
-from .staging import shared_folder
+from .staging import own_folder
 
 QUERIES, SQL = {}, {}
 
@@ -36,7 +36,7 @@ def _metric_stream(spark, folder):
 
 def _run(spark, stream, mode: str):
     """Run a streaming aggregate over all that is there into the shared folder."""
-    base = f"{shared_folder(spark)}/bindery/{uuid.uuid4().hex}"
+    base = f"{own_folder(spark)}/{uuid.uuid4().hex}"
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
