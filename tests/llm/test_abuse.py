@@ -29,13 +29,14 @@ def corpus(seed, n, noise=0.06):
 def test_held_out_accuracy_with_wrong_marks():
     model = A.fit(corpus(1, 600)[0])
     docs, truth = corpus(2, 400)
-    found = [model.scores(A.units(t)).max() > model.threshold for t, _ in docs]
+    found = list(model.tops([t for t, _ in docs]) > model.threshold)
     hits = sum(f and t for f, t in zip(found, truth))
     assert hits / sum(truth) > 0.95 and hits / sum(found) > 0.95
 
 
 def test_kernel_is_the_gapped_subsequence_kernel():
-    a, b = A.codes("a filthy moron is a filthy moron"), A.codes("the filthy m.oron")
+    u = A.Units(["a filthy moron is a filthy moron", "the filthy m.oron", "x"])
+    a, b = (list(u.flat[u.start[i] : u.start[i] + u.size[i]]) for i in (0, 1))
 
     def phi(c):
         out = {}
@@ -46,19 +47,33 @@ def test_kernel_is_the_gapped_subsequence_kernel():
                 out[key] = out.get(key, 0) + A.DECAY ** (p[-1] - A.LETTERS + 1)
         return out
 
-    def mass(c):
-        runs = Counter(tuple([*c, 0, 0, 0][i : i + 4]) for i in range(len(c)))
-        return sum(n * n for n in runs.values())
-
     x, y = phi(a), phi(b)
-    exact = sum(v * y.get(k, 0) for k, v in x.items()) / (mass(a) * mass(b)) ** 0.5 / A._ENERGY
-    assert abs(A._kernel([a], [b])[0, 0] - exact) < 1e-5 and abs(A._kernel_one([a], b)[0] - exact) < 1e-5
+    exact = sum(v * y.get(k, 0) for k, v in x.items()) / (max(len(a), A.PADDED) * max(len(b), A.PADDED)) ** 0.5 / A._ENERGY
+    assert abs(A._kernel(u, np.array([1, 2]))[0, 0] - exact) < 1e-5 and abs(A._kernel_one(u, 1)[0] - exact) < 1e-5
+
+
+def test_disguised_texts_are_found_at_once():
+    texts = ["plain words", "You m0ron", "f u c k it", "idioooot", "sh*t", "a b", "", "12 km", "x", "!!!", "é", "so 5ick"]
+    basic = [A._basic(t) for t in texts]
+    for t, found in zip(basic, A._disguised(basic)):
+        assert found or A._undisguised(t) == t
 
 
 def test_disguises():
     assert A.plain("You м0r0n") == "you moron" and A.plain("f u c k it") == "fuck it" and A.plain("ti*s") == "tis"
     assert A.plain("sh​it") == "shit" and A.plain("idiooooot") == "idiot" and A.plain("Straße é") == "strasse e"
-    assert A.units("") == [] and len(A.units("x" * 5000)) <= 1 and len(A.units("ab " * 3000)) > 50
+    assert len(A.Units([])) == len(A.Units([None, "", "12 ."])) == 0
+    assert len(A.Units(["x" * 5000])) <= 1 and len(A.Units(["ab " * 3000])) > 50
+    u = A.Units(["One here. Two!\nThree", None, "Idiot!"])
+    assert list(u.owner) == [0, 2] and list(u.size) == [18, 6]
+    assert list(A.Units(["A sentence here. No. Another sentence.\n12\nOh"]).size) == [18, 19]
+
+
+def test_short_passages_are_scored():
+    model = A.fit(corpus(1, 600)[0])
+    assert A.Model.unpack(model.pack()).tops(["You idiot!"])[0] == model.tops(["You idiot!"])[0]
+    tops = model.tops(["You idiot!", "Moron", "Barn", "Yes.", ""])
+    assert min(tops[:2]) > max(tops[2:4]) and np.isnan(tops[4])
 
 
 def test_frame(spark):
@@ -70,5 +85,5 @@ def test_frame(spark):
     got = {r["doc_id"]: r["s"] for r in d.select("doc_id", A.score(F.col("text"), model).alias("s")).collect()}
     assert len(got) == len(docs) + 4 and got[1000]["score"] is None and got[1001]["abusive"] is False and got[1003]["abusive"] is False
     nothing = A.fit(A.labelled(d.limit(0), m))
-    assert float(nothing.scores(A.units("some text here")).max()) < nothing.threshold
+    assert float(nothing.tops(["some text here"])[0]) < nothing.threshold
     assert isinstance(nothing.weights, np.ndarray)
