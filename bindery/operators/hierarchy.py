@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import counted, dropped, staged
 
 
 def links(df: DataFrame, book: str, entry: str, docid: str, parent: str) -> DataFrame:
@@ -44,11 +44,13 @@ def links(df: DataFrame, book: str, entry: str, docid: str, parent: str) -> Data
 def hierarchy(edges: DataFrame) -> DataFrame:
     """Root, depth and path of every node of ``edges(book, id, parent)``; cycles are named.
 
-    The frontier starts with the roots and is joined, level by level, with the nodes whose parent it
-    holds; each join extends path and depth, and each level is written to the shared folder, so plans
+    The frontier starts with the roots and is joined, level by level, with the nodes not yet reached; those whose parent it
+    holds are the next frontier, with path and depth extended, and the others are looked at again, so a level reads only
+    what no level before it reached. Each level is one job, whose result is written to the shared folder, so plans
     stay short. Nodes never reached hang on cycles: following all their links twice as far in each
     round shrinks them to those that lie on a cycle themselves, in as many rounds as the logarithm of
-    the longest chain.
+    the longest chain. Joins are sorted ones at any size: a frontier may be as large as the table, and hot parents are
+    split by adaptive execution.
 
     Returns ``book, id, state, root, depth, path array<string>``: state ``tree``, or ``cycle`` (the node
     is its own ancestor) or ``hanging`` (its links lead into a cycle) with root ``''``, depth -1 and
@@ -56,42 +58,39 @@ def hierarchy(edges: DataFrame) -> DataFrame:
     gives no rows.
     """
     edges = staged(edges)
-    frontier = staged(
-        edges.where("parent is null").select(
-            "book", "id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path")
-        )
-    )
-    children = edges.where("parent is not null")
-    levels = []
-    while not frontier.isEmpty():
-        levels.append(frontier)
-        above = frontier.select("book", F.col("id").alias("parent"), "root", "depth", "path")
-        frontier = staged(
-            children.join(above, ["book", "parent"]).select(
-                "book", "id", "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("id")).alias("path")
-            )
+    columns = ["book", "id", "root", "depth", "path"]
+    frontier = edges.where("parent is null").select("book", "id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    reached, rest, depth = frontier, edges.where("parent is not null"), 0
+    while True:
+        depth += 1
+        above = frontier.select("book", F.col("id").alias("parent"), F.col("root").alias("_root"), F.col("path").alias("_path"))
+        met, n = counted(
+            rest.select("book", "id", "parent")
+            .join(above.hint("merge"), ["book", "parent"], "left")
+            .select("book", "id", "parent", F.col("_root").alias("root"), F.lit(depth).alias("depth"), F.concat("_path", F.array("id")).alias("path")),
+            found=F.count("root"),
+            left=F.count_if(F.col("root").isNull()),
         )
-    reached = levels[0] if levels else frontier
-    for level in levels[1:]:
-        reached = reached.unionByName(level)
+        rest = met.where("root is null").select("book", "id", "parent")
+        if not n["found"]:
+            break
+        frontier = met.where("root is not null").select(*columns)
+        reached = reached.unionByName(frontier)
     trees = reached.select("book", "id", F.lit("tree").alias("state"), "root", "depth", "path")
-    unreached = staged(children.join(reached.select("book", "id"), ["book", "id"], "left_anti"))
-    if unreached.isEmpty():
+    if not n["left"]:
         return trees
-    step, on_cycle = unreached, unreached.select("book", "id")
-    count = on_cycle.count()
+    step, on_cycle, count = rest, rest.select("book", "id"), n["left"]
     while True:
-        images = staged(step.select("book", F.col("parent").alias("id")).distinct())
-        twice = step.alias("a").join(
-            step.alias("b"), (F.col("a.book") == F.col("b.book")) & (F.col("a.parent") == F.col("b.id"))
-        )
-        smaller = images.count()
+        images, n = counted(step.select("book", F.col("parent").alias("id")).distinct())
         on_cycle = images
-        if smaller == count:
+        if n["rows"] == count:
             break
-        count = smaller
-        step = staged(twice.select("a.book", "a.id", F.col("b.parent").alias("parent")))
-    rest = unreached.join(on_cycle.withColumn("hit", F.lit(True)), ["book", "id"], "left").select(
+        count = n["rows"]
+        further = step.select("book", F.col("id").alias("parent"), F.col("parent").alias("_next"))
+        twice = staged(step.join(further.hint("merge"), ["book", "parent"]).select("book", "id", F.col("_next").alias("parent")))
+        dropped(step)
+        step = twice
+    unreached = rest.join(on_cycle.withColumn("hit", F.lit(True)), ["book", "id"], "left").select(
         "book",
         "id",
         F.when(F.col("hit"), "cycle").otherwise("hanging").alias("state"),
@@ -99,7 +98,7 @@ def hierarchy(edges: DataFrame) -> DataFrame:
         F.lit(-1).alias("depth"),
         F.array().cast("array<string>").alias("path"),
     )
-    return trees.unionByName(rest)
+    return trees.unionByName(unreached)
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from ..sources.tables import blank, zero
 
 EQUAL = ("job_id", "book_id", "stage", "item_key", "provider", "model", "output_type")
@@ -108,7 +109,7 @@ def details(df: DataFrame, *keys: Column) -> DataFrame:
     spent = F.when(F.col("total_seconds") > 0, F.col("total_seconds"))
     shown = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     rest = ["cost_usd", "success", "total_seconds", *[f"{k}_tokens" for k in ("total", "prompt", "completion", "reasoning")]]
-    keyed = df.select(*keys, *rest)
+    keyed = staged(df.select(*keys, *rest))  # the log is read, and its copies told apart, once for all that follows
     names = keyed.columns[: len(keys)]
     main = keyed.groupBy(*names).agg(
         *summary(),

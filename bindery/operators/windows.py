@@ -76,6 +76,21 @@ def offsets(df: DataFrame, group: list[str], order: list[str], length: str, cell
     )
 
 
+def in_ranges(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, on: list[str], how: str = "inner", block: int = 64) -> DataFrame:
+    """``points`` joined with the ``ranges`` of the same ``on`` that hold them, both bounds inclusive.
+
+    Ranges are cut into blocks, and points meet them by ``on`` and block, so that a group with very many points and ranges
+    is spread over its blocks, and no point meets a range that is far from it. Null bounds and ends before the start hold
+    nothing. ``ranges`` mustn't share other columns with ``points``; ``how`` may be any join that keeps the left side whole.
+    """
+    number = lambda c: F.floor(F.col(c) / F.lit(block))
+    cut = ranges.where(F.col(end) >= F.col(start)).withColumn("_block", F.explode(F.sequence(number(start), number(end))))
+    cut = cut.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    placed = points.withColumn("_at", number(at))
+    same = [placed[c] == cut[f"_on_{c}"] for c in on] + [placed["_at"] == cut["_block"], placed[at].between(cut[start], cut[end])]
+    return placed.join(cut, same, how).drop("_at", "_block", *[f"_on_{c}" for c in on])
+
+
 def latest(df: DataFrame, keys: list[str], version: list) -> DataFrame:
     """One row per key, the one whose version columns are greatest. The rows are combined before the
     shuffle, so a key with very many versions is no burden."""
@@ -84,16 +99,39 @@ def latest(df: DataFrame, keys: list[str], version: list) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
 
 
-def gaps(df: DataFrame, group: str, page: str, first: Column, last: Column, longest: int = 15) -> DataFrame:
+def gaps(df: DataFrame, group: str, page: str, first: Column, last: Column, longest: int = 15, title: str | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Stretches without a section: between consecutive pages more than ``longest`` apart, and before the
-    first and after the last: ``group, gap_start, gap_end, size``. ``first`` and ``last`` bound the body."""
+    first and after the last: ``group, gap_start, gap_end, size``. ``first`` and ``last`` bound the body.
+
+    With ``title`` also ``gap_key, prev_title, prev_page, next_title, next_page`` (of several sections on a page the least
+    title; '' and 0 where there is none). ``excluded(group, start_page, end_page)`` are ranges of pages: a stretch that begins in one
+    is left out, unless it is the one before the first section.
+    """
     w = Window.partitionBy(group).orderBy(page)
-    base = df.where(F.col(page).isNotNull()).select(group, page, first.alias("_a"), last.alias("_b")).distinct()
-    placed = base.withColumn("_next", F.lead(page).over(w)).withColumn("_before", F.lag(page).over(w))
-    p, n = F.col(page), F.col("_next")
+    named = F.col(title) if title else F.lit("")
+    base = df.where(F.col(page).isNotNull()).groupBy(group, page).agg(F.max(first).alias("_a"), F.max(last).alias("_b"), F.min(named).alias("_t"))
+    near = [f(c).over(w).alias(f"_{k}_{c.strip('_')}") for k, f in (("before", F.lag), ("next", F.lead)) for c in (page, "_t")]
+    placed = base.select("*", *near)
+    p, n, b = F.col(page), F.col(f"_next_{page}"), F.col(f"_before_{page}")
+
+    def gap(a: Column, z: Column, size: Column, head: bool, prev: bool, follows: bool) -> Column:
+        own = F.col("_t")
+        return F.struct(
+            a.cast("int").alias("gap_start"), z.cast("int").alias("gap_end"), size.cast("int").alias("size"), F.lit(head).alias("_head"),
+            (own if prev else F.lit("")).alias("prev_title"), (p if prev else F.lit(0)).alias("prev_page"),
+            (F.lit("") if not follows else F.col("_next_t") if prev else own).alias("next_title"), (F.lit(0) if not follows else n if prev else p).alias("next_page"),
+        )
+
     found = F.array(
-        F.when(F.col("_before").isNull() & (p - F.col("_a") > longest), F.struct(F.col("_a").alias("gap_start"), (p - 1).alias("gap_end"), (p - F.col("_a")).alias("size"))),
-        F.when(n - p > longest, F.struct((p + 1).alias("gap_start"), (n - 1).alias("gap_end"), (n - p - 1).alias("size"))),
-        F.when(n.isNull() & (F.col("_b") - p > longest), F.struct((p + 1).alias("gap_start"), F.col("_b").alias("gap_end"), (F.col("_b") - p).alias("size"))),
+        F.when(b.isNull() & (p - F.col("_a") > longest), gap(F.col("_a"), p - 1, p - F.col("_a"), True, False, True)),
+        F.when(n - p > longest, gap(p + 1, n - 1, n - p - 1, False, True, True)),
+        F.when(n.isNull() & (F.col("_b") - p > longest), gap(p + 1, F.col("_b"), F.col("_b") - p, False, True, False)),
     )
-    return placed.select(group, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_gap")).select(group, "_gap.*")
+    each = placed.select(group, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_gap")).select(group, "_gap.*")
+    if excluded is not None:
+        inside = in_ranges(each.where("not _head"), "gap_start", excluded, "start_page", "end_page", [group], "left_anti")
+        each = each.where("_head").unionByName(inside)
+    if not title:
+        return each.select(group, "gap_start", "gap_end", "size")
+    names = [F.coalesce(c, F.lit("")).alias(c) for c in ("prev_title", "next_title")]
+    return each.select(group, F.format_string("gap_%d_%d", "gap_start", "gap_end").alias("gap_key"), "gap_start", "gap_end", "size", *names, "prev_page", "next_page")

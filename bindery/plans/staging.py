@@ -58,7 +58,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 def _staged(df: DataFrame, written: DataFrame) -> DataFrame:
     path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    written.write.parquet(path)
+    written.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
