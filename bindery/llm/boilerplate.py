@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import counted, dropped, staged
 from . import lines as L
 
 SUPPORT = 8
-#: A key on this many pages can gather the misread copies around it.
-HUB_PAGES = 3
-#: What may be broadcast: so many 8-byte hashes, and so many characters of keys. Beyond, a shuffled join does the same.
-BROADCAST_HASHES, BROADCAST_CHARS = 2_000_000, 16_000_000
+#: Bits of a filter: 16 MB whatever the input; beyond some ten million hashes it only lets more through.
+BITS = 27
 
 
 def _keys(text: str) -> list[str]:
@@ -27,121 +27,223 @@ def _keys(text: str) -> list[str]:
     return ["" if k in L.PAGE_KEYS else k for k in keys]
 
 
-def _hash(key: str, book: str) -> int:
-    return xxhash.xxh64_intdigest(key, xxhash.xxh32_intdigest(book)) - (1 << 63)
+def keyed_lines(docs: DataFrame, ids: list[str], fields: list[str]) -> DataFrame:
+    """``*ids, field, line_no, key, h`` of every line with a key; h is a hash of the first of ``ids``, the source, and the key.
+    Rows whose ids aren't all given have none."""
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ids)
 
+    def read(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                of, names, numbers, keys = [], [], [], []
+                for field in fields:
+                    for i, text in enumerate(part[field]):
+                        if text:
+                            for no, k in enumerate(_keys(text), 1):
+                                if k:
+                                    of.append(i)
+                                    names.append(field)
+                                    numbers.append(no)
+                                    keys.append(k)
+                out = part[ids].iloc[of].reset_index(drop=True)
+                yield out.assign(field=names, line_no=np.array(numbers, dtype="int32"), key=keys)
 
-def _source(docs: DataFrame, fields: list[str]) -> DataFrame:
-    return docs.select("book", "page", *fields).where("book is not null and page is not null")
+    whole = docs.select(*ids, *fields).where(" and ".join(f"{c} is not null" for c in ids))
+    return whole.mapInPandas(read, f"{schema}, field string, line_no int, key string").withColumn("h", F.xxhash64(ids[0], "key"))
 
 
-def key_pages(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """``h, pages``: the number of pages of each line key of a book, by hash. Only two numbers a line are
-    shuffled; copies of a page count once."""
+# Filters: bits of hashes, by which rows that can't meet anything in a join are left out before they are shuffled.
 
-    def read(batches):
-        for pdf in batches:
-            hs, ps = [], []
-            for row in zip(pdf["book"], pdf["page"], *(pdf[f] for f in fields)):
-                book, page = row[0], xxhash.xxh64_intdigest(row[1]) - (1 << 63)
-                own = {_hash(k, book) for text in row[2:] if text for k in _keys(text) if k}
-                hs.extend(own)
-                ps.extend([page] * len(own))
-            yield pd.DataFrame({"h": np.array(hs, dtype="int64"), "p": np.array(ps, dtype="int64")})
 
-    # Told apart before they are counted by key alone: a key may be on a third of all pages.
-    return _source(docs, fields).mapInPandas(read, "h long, p long").distinct().groupBy("h").agg(F.count("*").alias("pages"))
+def bits_of(hashes: DataFrame):
+    """A broadcast filter of a column of hashes. It is put together in parts, each in one task, and is of the same size for
+    any input."""
+    bit = F.shiftrightunsigned(hashes[hashes.columns[0]], 64 - BITS) + 1
+    parts = hashes.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit")).repartition("part")
+    rows = parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    whole = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    for r in rows:
+        whole[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(whole)
 
 
-def hub_keys(docs: DataFrame, fields: list[str], counts: DataFrame) -> DataFrame:
-    """``book, key, pages`` of the keys that are on several pages; ``counts`` must be staged."""
-    several = counts.where(F.col("pages") >= HUB_PAGES)
-    small = several.count() <= BROADCAST_HASHES
-    wanted = np.sort(several.select("h").toPandas()["h"].to_numpy()) if small else None
-    shared = docs.sparkSession.sparkContext.broadcast(wanted) if small else None
+def passing(df: DataFrame, column: str, bits) -> DataFrame:
+    """The rows of which a hash may be in a filter."""
+    at = df.columns.index(column)
 
-    def read(batches):
-        only = None if shared is None else set(shared.value.tolist())
-        for pdf in batches:
-            out = set()
-            for row in zip(pdf["book"], *(pdf[f] for f in fields)):
-                for text in row[1:]:
-                    if text:
-                        for k in _keys(text):
-                            if k and (only is None or _hash(k, row[0]) in only):
-                                out.add((_hash(k, row[0]), row[0], k))
-            yield pd.DataFrame(sorted(out), columns=["h", "book", "key"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        for b in batches:
+            hashes = b.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)
+            yield b.filter(pa.array((table[hashes >> np.uint64(3)] >> (hashes & np.uint64(7)).astype(np.uint8)) & 1 > 0))
 
-    lines = _source(docs, fields).mapInPandas(read, "h long, book string, key string")
-    return lines.distinct().join(several, "h").select("book", "key", "pages")
+    return df.mapInArrow(run, df.schema)
 
 
-def with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``rows`` with ``hubs array<string>``, the hub keys of their book from the strongest on.
+# Near lines: a copy within e edits of a line leaves one of e + 1 pieces as it is, at a place shifted by few letters.
 
-    A book has as many hubs as lines that recur in it. The hubs of all books are broadcast if their
-    measured size is within the bound, else both sides are shuffled by book (adaptive execution splits
-    hot books).
-    """
-    by_book = hubs.groupBy("book").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("order"), F.col("key").alias("key")))), lambda x: x["key"]
-        ).alias("hubs")
-    )
-    size = hubs.agg(F.sum(F.length("key") + F.length("book") + 16)).first()[0] or 0
-    return rows.join(F.broadcast(by_book) if size <= BROADCAST_CHARS else by_book, "book", "left")
 
+def _allowed(size: Column) -> Column:
+    return F.when(size < L.LEAST, 0).otherwise(1 + F.floor(size / L.LETTERS_PER_EDIT)).cast("int")
 
-def located(docs: DataFrame, fields: list[str], hubs: DataFrame) -> DataFrame:
-    """``book, page, field, line_no, hub`` of every line that is a hub of its book or near one."""
 
-    def read(batches):
-        cache: dict[str, L.Hubs] = {}
-        for pdf in batches:
-            out = []
-            for row in zip(pdf["book"], pdf["page"], pdf["hubs"], *(pdf[f] for f in fields)):
-                if row[0] not in cache:
-                    if len(cache) > 1000:
-                        cache.clear()
-                    cache[row[0]] = L.Hubs(list(row[2]))
-                own = cache[row[0]]
-                for field, text in zip(fields, row[3:]):
-                    if text:
-                        for no, k in enumerate(_keys(text), 1):
-                            if k and (hub := own.find(k)):
-                                out.append((row[0], row[1], field, no, hub))
-            yield pd.DataFrame(out, columns=["book", "page", "field", "line_no", "hub"])
-
-    rows = with_hubs(_source(docs, fields), hubs).where("hubs is not null").select("book", "page", "hubs", *fields)
-    return rows.mapInPandas(read, "book string, page string, field string, line_no int, hub string").distinct()
+def _piece(source: Column, size: Column, i: Column, text: Column) -> Column:
+    return F.xxhash64(source, size, i, text)
+
+
+def line_pieces(keys: DataFrame) -> DataFrame:
+    """``piece`` beside the columns of ``keys(source, key)``: the hashes of a line's pieces, one more than the edits between it
+    and any line it may be a copy of."""
+    size = F.length("key")
+    counted_ = keys.withColumn("_m", _allowed(size + L.SHIFT) + 1)
+    each = counted_.select("*", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_i"))
+    start = lambda i: F.floor(i * size / F.col("_m")).cast("int")
+    text = F.substring("key", start(F.col("_i")) + 1, start(F.col("_i") + 1) - start(F.col("_i")))
+    return each.select(*keys.columns, _piece(F.col("source"), size, F.col("_i"), text).alias("piece"))
+
+
+def numbered(hubs: DataFrame) -> DataFrame:
+    """``hubs(source, hub, pages)`` with ``id``, a hash of source and hub."""
+    return hubs.select("source", "hub", "pages", F.xxhash64("source", "hub").alias("id"))
+
+
+def _lengths(hubs: DataFrame) -> DataFrame:
+    """``_l`` beside the columns of ``hubs``: each length of a line that may be a copy of the hub."""
+    own = F.length("hub")
+    s = F.least(_allowed(own), F.lit(L.SHIFT))
+    return hubs.select("*", s.alias("_s"), F.explode(F.sequence(F.greatest(own - s, F.lit(1)), own + s)).alias("_l"))
+
+
+def hub_pieces(hubs: DataFrame) -> DataFrame:
+    """``id, piece``: what is to be found of each hub of ``hubs`` (see ``numbered``) in the lines that may be copies of it, for
+    each length of such a line and each of its pieces at each shift that the edits allow."""
+    own = F.length("hub")
+    counts = _lengths(hubs).withColumn("_m", _allowed(F.col("_l") + L.SHIFT) + 1)
+    pieces = counts.select("*", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_i"))
+    shifted = pieces.select("*", F.explode(F.sequence(-F.col("_s"), F.col("_s"))).alias("_d"))
+    start = lambda i: F.floor(i * F.col("_l") / F.col("_m")).cast("int")
+    first, size = start(F.col("_i")) + F.col("_d"), start(F.col("_i") + 1) - start(F.col("_i"))
+    fits = (F.abs("_d") + F.abs(own - F.col("_l") - F.col("_d")) <= _allowed(own)) & (first >= 0) & (first + size <= own)
+    return shifted.where(fits).select("id", _piece(F.col("source"), F.col("_l"), F.col("_i"), F.substring("hub", first + 1, size)).alias("piece"))
+
+
+def near(each: DataFrame, pieces: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``h, source, key, id, hub, pages`` of each key of ``each(source, key, h, piece)`` and each of ``hubs`` (see ``numbered``, ``hub_pieces``)
+    that it is within the allowed edits of, once. ``each`` is read twice and should be staged."""
+    met = each.join(passing(pieces, "piece", bits_of(each.select("piece"))), "piece").select("h", "source", "key", "id").distinct()
+    both = met.join(hubs.withColumnRenamed("source", "_source"), "id").where("source = _source")
+    most = _allowed(F.length("hub"))
+    close = both.where(F.abs(F.length("key") - F.length("hub")) <= most).where(F.levenshtein("key", "hub") <= most)
+    return close.select("h", "source", "key", "id", "hub", "pages")
+
+
+def leaders(hubs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Of ``hubs`` (see ``numbered``) those that aren't near a stronger one that stays, by pages and then by name.
+
+    A hub stays once every stronger one near it has gone, and goes once a stronger one near it stays, so each round settles the
+    strongest of those that are left; there are as many rounds as the longest chain of ever weaker hubs near each other.
+    """
+    keys = hubs.select("source", F.col("hub").alias("key"), F.col("id").alias("h"))
+    pairs = near(staged(line_pieces(keys)), pieces, hubs).join(hubs.select(F.col("id").alias("h"), F.col("pages").alias("own")), "h")
+    stronger = (F.col("pages") > F.col("own")) | ((F.col("pages") == F.col("own")) & (F.col("hub") < F.col("key")))
+    edges, n = counted(pairs.where(stronger).select(F.col("h").alias("weak"), F.col("id").alias("strong")))
+    if not n["rows"]:
+        return hubs
+    known = staged(hubs.join(edges.select(F.col("weak").alias("id")).distinct(), "id", "left_anti").select("id"))
+    while n["rows"]:
+        follows = staged(edges.join(known, edges["strong"] == known["id"], "left_semi").select("weak").distinct())
+        left = edges.join(follows, "weak", "left_anti")
+        left = left.join(follows.select(F.col("weak").alias("strong")), "strong", "left_anti").select("weak", "strong")
+        fewer, n = counted(left)
+        freed = edges.select("weak").distinct().join(follows, "weak", "left_anti").join(fewer.select("weak").distinct(), "weak", "left_anti")
+        more = staged(known.unionByName(freed.select(F.col("weak").alias("id"))))
+        dropped(edges, follows, known)
+        edges, known = fewer, more
+    return hubs.join(known, "id", "left_semi")
+
+
+def copies(lines: DataFrame, hubs: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
+    """The lines of ``lines`` (see ``keyed_lines``; their source is the first column) that are copies of a hub of
+    ``hubs(source, hub, pages)``, with the strongest such ``hub`` in place of ``key`` and ``h``.
+
+    Lines meet hubs by pieces (see ``line_pieces``), in a join; lines of a length that no hub of their source is near, and pieces
+    that no hub has, are left out before. ``pieces``: those of these hubs, perhaps among others.
+    """
+    source, hubs = lines.columns[0], numbered(hubs)
+    pieces = staged(hub_pieces(hubs)) if pieces is None else pieces.join(hubs.select("id"), "id", "left_semi")
+    keyed = lines.select(F.col(source).alias("source"), "key", "h", F.xxhash64(F.col(source), F.length("key")).alias("sized"))
+    lengths = _lengths(hubs).select(F.xxhash64("source", "_l").alias("sized"))
+    some = line_pieces(passing(keyed, "sized", bits_of(lengths)).drop("sized"))
+    each = staged(passing(some, "piece", bits_of(pieces.select("piece"))).distinct())
+    best = F.min(F.struct((-F.col("pages")).alias("order"), "hub"))["hub"]
+    named = near(each, pieces, hubs).groupBy("h").agg(best.alias("hub"), F.first("source").alias(source))
+    named = staged(named)
+    kept = [c for c in lines.columns if c not in (source, "key", "h")]
+    out = passing(lines.select(*kept, "h"), "h", bits_of(named.select("h"))).join(named, "h").select(source, *kept, "hub")
+    found = staged(out.distinct())
+    dropped(named, each)
+    return found
 
 
 def repeated_lines(docs: DataFrame, fields: list[str], support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """All lines that recur on at least ``support`` pages of their book, whatever their case, spacing,
     marks, numbers and misread characters: ``book, page, field, line_no, hub``, and the hubs ``book,
-    key, pages`` themselves.
+    key, pages`` themselves: the nodes of the graph.
 
     ``docs`` has ``book``, ``page`` and the text fields. Null fields have no lines; rows without book or
-    page, lines without letters and page numbers are no case; a page stored twice counts once. Three
-    passes over the texts: pages of each key, by hash; the keys on several pages; every line that is
-    one of those or a misread copy of one.
+    page, lines without letters and page numbers are no case; a page stored twice counts once. The texts are read
+    once, for the keys of their lines. Keys on two pages or more are hubs; a hub near a stronger one goes to it; then every
+    line goes to the strongest hub it is near (see ``copies``). Copies that are all different, no two of one key, are missed.
     """
-    counts = staged(key_pages(docs, fields).where(F.col("pages") >= HUB_PAGES))
-    hubs = staged(hub_keys(docs, fields, counts))
-    lines = staged(located(docs, fields, hubs))
-    strong = staged(
-        lines.select("book", "hub", "page").distinct().groupBy("book", "hub").agg(F.count("*").alias("pages")).where(F.col("pages") >= support)
-    )
-    found = lines.join(strong.select("book", "hub"), ["book", "hub"]).select("book", "page", "field", "line_no", "hub")
+    lines = staged(keyed_lines(docs, ["book", "page"], fields))
+    placed = lines.withColumn("p", F.xxhash64("page"))
+    several = staged(placed.groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("h"))
+    # Pages are told apart before they are counted by key alone: a key may be on a third of all pages.
+    pairs = passing(placed.select("book", "key", "h", "p"), "h", bits_of(several)).join(several, "h").distinct()
+    counts = pairs.groupBy("book", "key").agg(F.count("*").alias("pages"))
+    hubs = staged(numbered(counts.select(F.col("book").alias("source"), F.col("key").alias("hub"), "pages")))
+    pieces = staged(hub_pieces(hubs))
+    own = copies(lines, leaders(hubs, pieces), pieces)
+    pages = own.select("book", "hub", F.xxhash64("page").alias("p")).distinct().groupBy("book", "hub").agg(F.count("*").alias("pages"))
+    strong = staged(pages.where(F.col("pages") >= support))
+    dropped(several, hubs, pieces, lines)
+    found = own.join(strong.select("book", "hub"), ["book", "hub"]).select("book", "page", "field", "line_no", "hub")
     return found, strong.select("book", F.col("hub").alias("key"), "pages")
 
 
-def blocks(found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``book, hub, block``: repeated lines that stand one below the other on at least ``support`` pages
-    are one block (connected components of the graph of consecutive lines); block is the least hub.
+def components(edges: DataFrame, ids: str = "a", others: str = "b") -> DataFrame:
+    """``node, least`` of each node of an undirected graph: the least node of its connected component.
 
-    Labels spread along edges until none changes; each round is written to the shared folder.
+    Each round, every tree of nodes is hung below the least tree it has an edge to, and all nodes climb to their grandparents,
+    so trees shrink as they grow together and the rounds grow with the logarithm of the component's size. Both tables
+    are written each round; no task holds a component.
     """
+    both = staged(
+        edges.select(F.col(ids).alias("a"), F.col(others).alias("b")).unionByName(edges.select(F.col(others).alias("a"), F.col(ids).alias("b"))).distinct()
+    )
+    up = staged(both.select(F.col("a").alias("node")).distinct().withColumn("least", F.col("node")))
+    while True:
+        of = lambda name: up.select(F.col("node").alias(name), F.col("least").alias(f"{name}_top"))
+        tops = both.join(of("a"), "a").join(of("b"), "b").select("a_top", "b_top").where("b_top < a_top")
+        hooks = tops.groupBy(F.col("a_top").alias("top")).agg(F.min("b_top").alias("to"))
+        hung = staged(up.join(hooks, up["node"] == hooks["top"], "left").select("node", F.least(F.coalesce("to", "least"), "least").alias("least")))
+        above = hung.select(F.col("node").alias("least"), F.col("least").alias("over"))
+        climbed, n = counted(
+            hung.join(above, "least").join(up.withColumnRenamed("least", "old"), "node").select("node", F.col("over").alias("least"), "old"),
+            changed=F.count_if(F.col("least") != F.col("old")),
+        )
+        dropped(hung, up)
+        up = climbed.drop("old")
+        if not n["changed"]:
+            dropped(both)
+            return up
+
+
+def blocks(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``book, hub, block``: repeated lines that stand one below the other on at least ``support`` pages
+    are one block (connected components of the graph of consecutive lines); block is a line of it, the same for all. A line
+    beside no other is a block by itself."""
     nodes = found.select("book", "hub").distinct()
     after = Window.partitionBy("book", "page", "field").orderBy("line_no")
     edges = (
@@ -154,24 +256,15 @@ def blocks(found: DataFrame, support: int = SUPPORT) -> DataFrame:
         .agg(F.count("*").alias("pages"))
         .where(F.col("pages") >= support)
     )
-    both = staged(
-        edges.select("book", "a", "b").unionByName(edges.select("book", F.col("b").alias("a"), F.col("a").alias("b")))
-    )
-    labels = staged(nodes.select("book", "hub", F.col("hub").alias("block")))
-    while not both.isEmpty():
-        spread = both.join(labels, (labels["book"] == both["book"]) & (labels["hub"] == both["a"])).select(
-            both["book"], F.col("b").alias("hub"), "block"
-        )
-        better = staged(
-            labels.withColumn("old", F.col("block"))
-            .unionByName(spread.withColumn("old", F.lit(None).cast("string")))
-            .groupBy("book", "hub")
-            .agg(F.min("block").alias("block"), F.max("old").alias("old"))
-        )
-        labels = better.select("book", "hub", "block")
-        if better.where("block <> old").isEmpty():
-            break
-    return labels
+    node = lambda c: F.struct(F.col("book"), F.col(c).alias("hub"))
+    least = components(edges.select(node("a").alias("a"), node("b").alias("b")))
+    joined = least.select(F.col("node.book").alias("book"), F.col("node.hub").alias("hub"), F.col("least.hub").alias("block"))
+    return nodes.join(joined, ["book", "hub"], "left").select("book", "hub", F.coalesce("block", "hub").alias("block"))
+
+
+def block_lines(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``found`` with the ``block`` that each line belongs to."""
+    return found.join(blocks(found, support), ["book", "hub"])
 
 
 def without_lines(docs: DataFrame, found: DataFrame, fields: list[str]) -> DataFrame:

@@ -52,6 +52,7 @@ _BARE = re.compile(
     rf"[\W_]*(?:(?:{'|'.join(PAGE_WORDS)})[\W_]*)?(?:\d{{1,4}}|(?=[ivxlc]){_ROMAN})(?:\s*(?:/|of|von|sur|de)\s*\d{{1,4}})?[\W_]*",
     re.I,
 )
+_DRAWN = re.compile(r"([\W_]{1,2})\1+")
 _DECORATED = re.compile(r"\s*(?P<a>[\[(*–—~-]*\s*)(?P<n>[\dlIiOoSsBZz|!]{1,4}|[ivxlcIVXLC1|]{1,7})(?P<b>\s*[\])*–—~.-]*)\s*")
 
 
@@ -60,7 +61,11 @@ def is_page_number(line: str) -> bool:
     brackets, dashes or a total, and with digits that may be misread as letters. The last word of
     a sentence that is a number (a full stop right after it) is none."""
     s = line.strip()
-    if not s or len(s) > 24:
+    if len(s) > 24:  # long only by its decoration, or none
+        s = _DRAWN.sub(r"\1", s)
+        if len(s) > 24:
+            return False
+    if not s:
         return False
     if _BARE.fullmatch(s):
         return not re.fullmatch(r"\w+[.,;:!?]+[\"'”’]?", s) and any(c.isalnum() for c in s)
@@ -115,55 +120,12 @@ def line_keys(text: str) -> list[str]:
 
 #: Keys of lines of page words alone, never a case.
 PAGE_KEYS = {k for w in PAGE_WORDS for k in line_keys(w)} | {""}
-ANCHOR = 5
-#: Edits between keys of one printed line: this many, and one more for so many letters.
-EDITS, LETTERS_PER_EDIT = 1, 14
-
-
-def allowed(key: str) -> int:
-    return EDITS + len(key) // LETTERS_PER_EDIT
+#: Edits between keys of one printed line: one, and one more for so many letters; none for keys of fewer letters than LEAST.
+LETTERS_PER_EDIT, LEAST = 14, 6
+#: Edits may shift the letters between them by so many places.
+SHIFT = 3
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether two strings are at most ``most`` single-letter edits apart (a band of the edit table)."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        above, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
-        if min(row) > most:
-            return False
-    return row[-1] <= most
-
-
-class Hubs:
-    """The repeated keys of one book, to be met by the keys of its lines.
-
-    A key near a hub nearly always shares one of its ends, so only hubs with the same end are compared.
-    """
-
-    def __init__(self, keys: list[str]) -> None:
-        """``keys`` from the strongest to the weakest; a key means the strongest it is near to."""
-        self.exact: dict[str, str] = {}
-        self.ends: dict[str, list[str]] = {}
-        for k in keys:
-            self.exact[k] = self.near(k) or k
-            if self.exact[k] == k:
-                for end in {"<" + k[:ANCHOR], ">" + k[-ANCHOR:]}:
-                    self.ends.setdefault(end, []).append(k)
-
-    def near(self, key: str) -> str | None:
-        for end in ("<" + key[:ANCHOR], ">" + key[-ANCHOR:]):
-            for hub in self.ends.get(end, ()):
-                if within(key, hub, allowed(hub)):
-                    return hub
-        return None
-
-    def find(self, key: str) -> str | None:
-        return self.exact.get(key) or self.near(key)
+def allowed(size: int) -> int:
+    """Edits between a repeated line of so many letters and a copy of it."""
+    return 0 if size < LEAST else 1 + size // LETTERS_PER_EDIT

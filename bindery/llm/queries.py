@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import once, staged
 from ..sources.tables import blank, metrics, table, zero
 from . import abuse, boilerplate, mixing, packing, quantiles, scans, tokens
 from .splitting import split_long
@@ -136,21 +137,16 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "page", "_docid", "book_id", *FIELDS).withColumnsRenamed({"_docid": "page", "book_id": "book"})
 
 
-def _repeated(spark: SparkSession, folder: str) -> DataFrame:
-    return staged(boilerplate.repeated_lines(_pages(spark, folder), FIELDS)[0])
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every appearance of a line that belongs to a block of repeated lines of its book."""
-    found = _repeated(spark, folder)
-    return found.join(boilerplate.blocks(found), ["book", "hub"]).select(
-        F.col("page").alias("page_id"), "field", "line_no"
-    ).distinct()
+    """Every appearance of a line that recurs in its book. A block of repeated lines may be a single one, so no line of a block
+    is left out, and blocks needn't be put together for this."""
+    found = boilerplate.repeated_lines(_pages(spark, folder), FIELDS)[0]
+    return found.select(F.col("page").alias("page_id"), "field", "line_no").distinct()
 
 
 def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The blocks of repeated lines of every book, with the pages each line appears on."""
-    found = _repeated(spark, folder)
+    found = staged(boilerplate.repeated_lines(_pages(spark, folder), FIELDS)[0])
     pages = found.select("book", "hub", "page").distinct().groupBy("book", "hub").agg(F.count("*").alias("pages"))
     return boilerplate.blocks(found).join(pages, ["book", "hub"]).select(
         F.col("book").alias("book_id"), "block", F.col("hub").alias("line_key"), "pages"
@@ -158,9 +154,10 @@ def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page without the repeated lines of its book."""
+    """Every page without the blocks of repeated lines of its book."""
     once = _pages(spark, folder).dropDuplicates(["page"])
-    return boilerplate.without_lines(once, _repeated(spark, folder), FIELDS).withColumnsRenamed(
+    found = staged(boilerplate.repeated_lines(_pages(spark, folder), FIELDS)[0])
+    return boilerplate.without_lines(once, boilerplate.block_lines(found), FIELDS).withColumnsRenamed(
         {"page": "page_id", "book": "book_id"}
     )
 
@@ -169,44 +166,62 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, folder: str) -> DataFrame:
-    """All texts read from scans, with the book each belongs to."""
-    pages = table(spark, folder, "page", "_docid", "book_id", "ocr_markdown")
-    chapters = table(spark, folder, "chapter", "_docid", "unique_key", "mechanical_text").withColumn(
+    """All texts read from scans, with the book each belongs to, and where they follow each other: a page, or its reading by one
+    provider, follows the page before it, and a chapter the page before its first."""
+    pages = table(spark, folder, "page", "_docid", "book_id", "page_num", "ocr_markdown")
+    chapters = table(spark, folder, "chapter", "_docid", "unique_key", "start_page", "mechanical_text").withColumn(
         "book", F.substring_index("unique_key", ":", 1)
     )
     readings = table(spark, folder, "ocr_result", "page_id", "provider", "text")
     paragraphs = table(spark, folder, "paragraph", "_docid", "chapter_id", "raw_text")
-    book_of_page = pages.groupBy(F.col("_docid").alias("page_id")).agg(F.max("book_id").alias("book"))
+    book_of_page = pages.groupBy(F.col("_docid").alias("page_id")).agg(F.max("book_id").alias("book"), F.max("page_num").alias("no"))
     book_of_chapter = chapters.groupBy(F.col("_docid").alias("chapter_id")).agg(F.max("book").alias("book"))
+
+    def part(df: DataFrame, tab: str, key, text: str, by, no, goes_on: bool) -> DataFrame:
+        at = lambda n: F.concat_ws("|", by, "book", n) if n is not None else F.lit(None).cast("string")
+        place = F.when(no.isNotNull() & F.col("book").isNotNull(), at(no)) if no is not None else at(None)
+        following = F.when(no.isNotNull() & F.col("book").isNotNull(), at(no + 1)) if goes_on else at(None)
+        return df.select(F.lit(tab).alias("tab"), key.alias("row_key"), "book", F.col(text).alias("text"), place.alias("place"), following.alias("following"))
+
+    read = readings.where("text <> ''").join(book_of_page, "page_id", "left")
+    page, provider = F.lit("page"), blank("provider")
     parts = [
-        pages.select(F.lit("page").alias("tab"), F.col("_docid").alias("row_key"), F.col("book_id").alias("book"), F.col("ocr_markdown").alias("text")),
-        readings.where("text <> ''").join(book_of_page, "page_id", "left").select(
-            F.lit("ocr_result").alias("tab"), F.concat("page_id", F.lit("|"), blank("provider")).alias("row_key"), "book", "text"
-        ),
-        chapters.select(F.lit("chapter").alias("tab"), F.col("unique_key").alias("row_key"), "book", F.col("mechanical_text").alias("text")),
-        paragraphs.join(book_of_chapter, "chapter_id", "left").select(
-            F.lit("paragraph").alias("tab"), F.col("_docid").alias("row_key"), "book", F.col("raw_text").alias("text")
-        ),
+        part(pages.withColumnRenamed("book_id", "book"), "page", F.col("_docid"), "ocr_markdown", page, F.col("page_num"), True),
+        part(read, "ocr_result", F.concat("page_id", F.lit("|"), provider), "text", F.concat(F.lit("by "), provider), F.col("no"), True),
+        part(chapters, "chapter", F.col("unique_key"), "mechanical_text", page, F.col("start_page"), False),
+        part(paragraphs.join(book_of_chapter, "chapter_id", "left"), "paragraph", F.col("_docid"), "raw_text", page, None, False),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("text <> ''")
 
 
-def _noise(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
-    hubs = boilerplate.repeated_lines(_pages(spark, folder), FIELDS)[1]
+def _reading_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that two providers read from the same page."""
+    once = table(spark, folder, "ocr_result", "page_id", "provider", "text").where("text <> ''").groupBy("page_id", "provider").agg(F.max("text").alias("text"))
+    both = once.groupBy("page_id").agg(F.min_by("text", "provider").alias("one"), F.max_by("text", "provider").alias("other"))
+    return both.where("one <> other").select("one", "other")
+
+
+def _noise(spark: SparkSession, folder: str, contexts: bool) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame | None]]:
+    found, hubs = boilerplate.repeated_lines(_pages(spark, folder), FIELDS)
     texts = _scans(spark, folder)
-    return texts, scans.findings(texts, hubs)
+    # Lines of pages are known; those of the other tables are running lines if they are copies of a hub of the book.
+    others = boilerplate.keyed_lines(texts.where("tab <> 'page'"), ["book", "tab", "row_key"], ["text"])
+    copies = boilerplate.copies(staged(others), hubs.withColumnsRenamed({"book": "source", "key": "hub"}))
+    pages = found.where("field = 'ocr_markdown'").select(F.lit("page").alias("tab"), F.col("page").alias("row_key"), "line_no")
+    running = pages.unionByName(copies.select("tab", "row_key", "line_no"))
+    return texts, scans.findings(texts, running, _reading_pairs(spark, folder), contexts)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with cut words, misread characters, running lines and page numbers."""
-    _, (furniture, marked, _) = _noise(spark, folder)
+    _, (furniture, marked, _) = _noise(spark, folder, False)
     return scans.found_lines(furniture, marked)
 
 
 def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as continuous clean paragraphs; rows stored twice come out once."""
-    texts, noise = _noise(spark, folder)
-    return scans.repaired(texts.drop("book").distinct(), *noise)
+    texts, noise = _noise(spark, folder, True)
+    return scans.repaired(_once(texts.select("tab", "row_key", "text"), ["tab", "row_key"]), *noise)
 
 
 # p7 and p8: containers and mixes
@@ -274,7 +289,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document, and whether it is over the threshold."""
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
-    model = abuse.fit(abuse.labelled(docs, table(spark, folder, "doc_label")))
+    sample = abuse.labelled(docs, table(spark, folder, "doc_label"))
+    made_from = repr([(xxhash.xxh3_128_hexdigest(t), y) for t, y in sample]).encode()
+    # Fitted once for all queries of an application over a folder, as long as the sample is the same.
+    model = abuse.Model.unpack(once(spark, f"p9 {folder}", made_from, lambda: abuse.fit(sample).pack()))
     shared = spark.sparkContext.broadcast(model)  # one weight for each of 2**20 subsequences
     return docs.select("doc_id", "source", abuse.score(F.col("text"), shared).alias("s")).select(
         "doc_id", "source", "s.score", "s.abusive"

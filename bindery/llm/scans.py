@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from . import lines as L
-from .boilerplate import _keys, with_hubs
-from .correction import FOREIGN, Overlay, Trie, readings, search_keys, vocabulary_keys
+from .correction import FOREIGN, Confusions, Overlay, Trie, readings, vocabulary_keys
 
 #: Signs at the end of a line that a word is cut there.
 HYPHENS = "-‐¬\xad"
@@ -25,8 +24,9 @@ LEAST = 4
 BROADCAST, PART = 200_000, 50_000
 #: Plain letters are doubted if another word is so many times as frequent.
 RATIO = 20.0
-#: Readings whose scores are so near are told apart by the word before.
-MARGIN = 3.0
+#: An edit between two readings of the same text is a confusion if it occurs in so many different words and is so great a part of
+#: all such edits.
+LEARNED_WORDS, LEARNED_SHARE = 8, 0.002
 _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|er|e|ère|º|ª|s)?", re.I)
 _ENDED = re.compile(r"[.!?:;…*]['\"”’»)\]*]*$")
 _CUT = "\0"
@@ -94,12 +94,50 @@ def _probes(word: str) -> list[str]:
     return [x for x in (a, b, a + b, f"{a}-{b}") if x] if b else []
 
 
-def nearby(types: DataFrame, rest: DataFrame) -> DataFrame:
+def learned(pairs: DataFrame, vocab) -> list[tuple[str, str]]:
+    """Confusions (printed, read) shown by ``pairs(one, other)``, two readings each of the same text.
+
+    Lines of equal length in words are held side by side. Where a word differs and only one of its forms is in the
+    vocabulary, or is ``RATIO`` times as frequent, that one was printed; what is left without the common beginning and end
+    is the edit. Counted over all pairs, by edit and word; edits of up to two letters for one or two are looked at. The result
+    is bounded by the pairs of letters that can reach the share.
+    """
+
+    def run(batches):
+        known = vocab.value
+        for pdf in batches:
+            seen: Counter = Counter()
+            for one, other in zip(pdf["one"], pdf["other"]):
+                a, b = one.split("\n"), other.split("\n")
+                if len(a) != len(b):
+                    continue
+                for x, y in zip(a, b):
+                    if x != y and len(xs := x.split()) == len(ys := y.split()):
+                        for v, w in zip(xs, ys):
+                            if v != w and (v := core(v)) != (w := core(w)) and v and w:
+                                n, m = known.get(v, 0), known.get(w, 0)
+                                if n < m:
+                                    v, w, n, m = w, v, m, n
+                                if n >= RATIO * max(m, 1):
+                                    p, q = _differs(v, w)
+                                    printed, read = v[p : len(v) - (len(w) - 1 - q)], w[p : q + 1]
+                                    if 0 < len(printed) <= 2 and 0 < len(read) <= 2:
+                                        seen[printed, read, v] += 1
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["printed", "read", "word", "n"])
+
+    each = pairs.mapInPandas(run, "printed string, read string, word string, n long").groupBy("printed", "read", "word").agg(F.sum("n").alias("n"))
+    edits = staged(each.groupBy("printed", "read").agg(F.count("*").alias("words"), F.sum("n").alias("n")))
+    total = edits.agg(F.sum("n")).first()[0] or 0
+    good = edits.where((F.col("words") >= LEARNED_WORDS) & (F.col("n") >= LEARNED_SHARE * total))
+    return sorted((r["printed"], r["read"]) for r in good.select("printed", "read").collect())
+
+
+def nearby(types: DataFrame, rest: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``word, more, ahead, compound``: of each word of ``types``, its candidates ``(v, n)`` among the words of the
     vocabulary that aren't broadcast, and of parts at a line's end how often longer words of these begin with them,
     without and with a hyphen.
 
-    Both sides meet in shards (see ``search_keys``). Shards with many words are searched in parts, each by all words
+    Both sides meet in shards (see ``Confusions.search_keys``). Shards with many words are searched in parts, each by all words
     that look there; words stream past a trie of one part, so no task holds more than that.
     """
 
@@ -108,8 +146,9 @@ def nearby(types: DataFrame, rest: DataFrame) -> DataFrame:
             yield pd.DataFrame([(k, v, n) for v, n in zip(pdf["word"], pdf["count"]) for k in vocabulary_keys(v)], columns=["key", "v", "n"])
 
     def searches(batches):
+        confusions = Confusions(pairs)
         for pdf in batches:
-            out = {(k, w, x) for w in pdf["word"] for x in _probes(w) for k in search_keys(x)}
+            out = {(k, w, x) for w in pdf["word"] for x in _probes(w) for k in confusions.search_keys(x)}
             yield pd.DataFrame(list(out), columns=["key", "word", "v"])
 
     held = staged(rest.select("word", "count").mapInPandas(shards, "key string, v string, n long"))
@@ -120,6 +159,7 @@ def nearby(types: DataFrame, rest: DataFrame) -> DataFrame:
 
     def search(batches):
         at, trie, words = None, None, {}
+        confusions = Confusions(pairs)
         for pdf in batches:
             out = []
             for key, part, word, v, n in zip(pdf["key"], pdf["part"], pdf["word"], pdf["v"], pdf["n"]):
@@ -128,7 +168,7 @@ def nearby(types: DataFrame, rest: DataFrame) -> DataFrame:
                 if n:
                     words[v] = n
                     continue
-                trie = trie or Trie(words)
+                trie = trie or Trie(words, confusions=confusions)
                 out += [(word, x, words[x]) for x in trie.candidates(v)]
             yield pd.DataFrame(out, columns=["word", "v", "n"])
 
@@ -198,14 +238,16 @@ def judge(word: str, count: int, trie: Trie | Overlay, ordered: list[str], ahead
     return whole, odd[0], odd[1], []
 
 
-def verdicts(types: DataFrame, vocab, rest: DataFrame | None = None, doubted=None, weak: DataFrame | None = None) -> DataFrame:
+def verdicts(
+    types: DataFrame, vocab, rest: DataFrame | None = None, doubted=None, weak: DataFrame | None = None, pairs: list[tuple[str, str]] | None = None
+) -> DataFrame:
     """``word, cut, first, second, readings`` of each word or cut word of ``types(word, count)``; ``vocab``
-    is the broadcast part of the vocabulary, ``rest`` the other (see ``vocabulary``). Of the words of these that
+    is the broadcast part of the vocabulary, ``rest`` the other (see ``vocabulary``), ``pairs`` the learned confusions. Of the words of these that
     are doubted themselves, ``doubted`` is a broadcast set, and ``weak(word)`` holds those of ``rest``."""
     columns = ["word", "count"]
     types = types.select(*columns)
     if rest is not None:
-        near = nearby(types, rest)
+        near = nearby(types, rest, pairs or [])
         if weak is not None:
             bad = near.select("word", F.explode("more.v").alias("v")).join(weak.select(F.col("word").alias("v")), "v", "left_semi")
             near = near.join(bad.groupBy("word").agg(F.collect_set("v").alias("weak")), "word", "left")
@@ -215,8 +257,7 @@ def verdicts(types: DataFrame, vocab, rest: DataFrame | None = None, doubted=Non
         columns += ["more", "ahead", "compound", "weak"]
 
     def run(batches):
-        trie = Trie(vocab.value, doubted.value if doubted else frozenset())
-        ordered = sorted(vocab.value)
+        trie, ordered = _searched(vocab, doubted, pairs or [])
         for pdf in batches:
             rows = []
             for w, n, *near in pdf[columns].itertuples(index=False, name=None):
@@ -229,7 +270,7 @@ def verdicts(types: DataFrame, vocab, rest: DataFrame | None = None, doubted=Non
                 else:
                     rows.append((w, *judge(w, n, trie, ordered)))
             yield pd.DataFrame(
-                [(w, c, f, s, [{"printed": x, "score": y} for x, y in r[:8]]) for w, c, f, s, r in rows],
+                [(w, c, f, s, [{"printed": x, "score": y} for x, y in r]) for w, c, f, s, r in rows],
                 columns=["word", "cut", "first", "second", "readings"],
             )
 
@@ -238,6 +279,19 @@ def verdicts(types: DataFrame, vocab, rest: DataFrame | None = None, doubted=Non
     )
 
 
+_TRIES: dict[tuple, tuple[Trie, list[str]]] = {}
+
+
+def _searched(vocab, doubted, pairs: list[tuple[str, str]]) -> tuple[Trie, list[str]]:
+    """The trie of a broadcast vocabulary and its words in order, built once in each Python worker."""
+    name = lambda b: getattr(b, "_path", None) or id(b.value)
+    key = (name(vocab), name(doubted) if doubted else 0, tuple(pairs))
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = (Trie(vocab.value, doubted.value if doubted else frozenset(), Confusions(pairs)), sorted(vocab.value))
+    return _TRIES[key]
+
+
 class Reader:
     """Reads texts line by line, given the words that need no second look."""
 
@@ -246,34 +300,38 @@ class Reader:
         self.fine: set[str] = set()  # tokens, with their marks, that were looked at and are good
         self.contexts: Counter = Counter()
 
-    def layout(self, text: str, hubs: L.Hubs | None) -> tuple[list[str], list[str]]:
+    def layout(self, text: str, running: set[int]) -> tuple[list[str], list[str]]:
         """Lines, and the kind of each: '' blank, running, number or text."""
         lines = text.split("\n")
-        keys = _keys(text) if hubs else None
         kinds = []
-        for i, line in enumerate(lines):
-            s = line.strip()
-            if not s:
+        for i, line in enumerate(lines, 1):
+            if not line or line.isspace():
                 kinds.append("")
-            elif keys and keys[i] and hubs.find(keys[i]):
+            elif i in running:
                 kinds.append("running")
-            elif len(s) <= 24 and L.is_page_number(s):
+            elif L.is_page_number(line):
                 kinds.append("number")
             else:
                 kinds.append("text")
         return lines, kinds
 
-    def facts(self, text: str, hubs: L.Hubs | None, inside: bool) -> list[tuple[int, int | None, str, str, str]]:
+    def facts(self, text: str, running: set[int], place: str | None = None, following: str | None = None) -> list[tuple[int, int | None, str, str, str]]:
         """(line, line of the rest, kind, word, word before): furniture, cut words and words to look at.
 
-        ``inside``: the text may begin with the rest of a word cut on the page before.
+        ``place``: the text may begin with the rest of a word cut in the text that has ``following`` the same. A first
+        word that is short and in lower case is of kind start then, and a text that ends in a cut word has a row of kind
+        open; their last column is the place.
         """
-        lines, kinds = self.layout(text, hubs)
+        lines, kinds = self.layout(text, running)
         out: list = [(i, None, k, "", "") for i, k in enumerate(kinds, 1) if k in ("running", "number")]
         body = [(i, line.split()) for i, (line, k) in enumerate(zip(lines, kinds), 1) if k == "text"]
         skip = 0
-        if inside and body and body[0][1][0][0].islower() and len(core(body[0][1][0])) < 4:
+        if place and body and body[0][1][0][0].islower() and len(w := core(body[0][1][0])) < 4:
             skip = 1  # a rest so short can be like any word
+            if w not in self.good and is_word(w):
+                out.append((body[0][0], None, "start", w, place))
+        if following and body and (last := body[-1][1][-1])[-1] in HYPHENS and len(last) > 1 and last[-2].isalnum():
+            out.append((body[-1][0], None, "open", "", following))
         before = ""
         for at, (no, tokens) in enumerate(body):
             end = len(tokens)
@@ -310,47 +368,47 @@ class Reader:
         return out
 
 
-def read_lines(texts: DataFrame, hubs: DataFrame, good, watch) -> DataFrame:
+def read_lines(texts: DataFrame, running: DataFrame, good, watch) -> DataFrame:
     """One pass over all texts: ``tab, row_key, line_no, rest_no, kind, word, before`` (see ``Reader.facts``),
-    and rows of kind context, whose line_no counts how often ``word`` follows ``before``."""
+    and rows of kind context, whose line_no counts how often ``word`` follows ``before``. ``running(tab, row_key, lines)``
+    holds the running lines of each text; a text has few, and is shuffled once to meet them."""
 
     def run(batches):
         reader = Reader(good.value, watch.value)
-        cache: dict = {}
         columns = ["tab", "row_key", "line_no", "rest_no", "kind", "word", "before"]
         for pdf in batches:
             out = []
-            for tab, key, book, text, own in zip(pdf["tab"], pdf["row_key"], pdf["book"], pdf["text"], pdf["hubs"]):
-                if not text:
-                    continue
-                if own is not None and book not in cache:
-                    if len(cache) > 1000:
-                        cache.clear()
-                    cache[book] = L.Hubs(list(own))
-                for x in reader.facts(text, cache[book] if own is not None else None, tab != "paragraph"):
-                    out.append((tab, key, *x))
+            for tab, key, text, lines, place, following in pdf.itertuples(index=False, name=None):
+                if text:
+                    own = set() if lines is None else set(lines.tolist())
+                    out += [(tab, key, *x) for x in reader.facts(text, own, place, following)]
             out += [("", "", n, None, "context", w, b) for (b, w), n in reader.contexts.items()]
             reader.contexts.clear()
             frame = pd.DataFrame(out, columns=columns)
             frame["rest_no"] = frame["rest_no"].astype("Int64")
             yield frame
 
-    rows = with_hubs(texts, hubs).select("tab", "row_key", "book", "text", "hubs")
+    placed = texts.withColumns({c: F.lit(None).cast("string") for c in ("place", "following") if c not in texts.columns})
+    rows = placed.join(running, ["tab", "row_key"], "left").select("tab", "row_key", "text", "lines", "place", "following")
     return rows.mapInPandas(
         run, "tab string, row_key string, line_no int, rest_no int, kind string, word string, before string"
     )
 
 
-def findings(texts: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All that is wrong with the lines of ``texts(tab, row_key, book, text)``: furniture lines, words
-    with their verdicts, and the contexts of readings that are hard to tell apart.
+def findings(
+    texts: DataFrame, running: DataFrame, pairs: DataFrame | None = None, contexts: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """All that is wrong with the lines of ``texts(tab, row_key, text, place, following)``: furniture lines, words
+    with their verdicts, and, if asked for, the contexts of readings, by which they are told apart.
 
     Words are counted over all texts; those that occur LEAST times are the vocabulary. For every other word,
     and for every word of the vocabulary itself, an automaton is run over the vocabulary's trie, of which
     the words beyond BROADCAST are searched in shards. Words with several readings are judged again when it
     is known which words of the vocabulary are doubted.
     A second pass emits only words that aren't known to be good, so the shuffle that meets them
-    with their verdicts holds a small part of all words. Null and empty texts have no lines.
+    with their verdicts holds a small part of all words. Null and empty texts have no lines. ``running(tab, row_key, line_no)``
+    are the lines that recur in a book; ``pairs(one, other)``, two readings each of the same text, show what is confused;
+    ``place`` and ``following`` name where texts follow each other (see ``Reader.facts``), null where none does.
     """
     sc = texts.sparkSession.sparkContext
     words = staged(word_counts(texts))
@@ -358,31 +416,41 @@ def findings(texts: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame, D
     vocab = sc.broadcast(known)
     if rest is not None:
         rest = staged(rest)
-    once = staged(verdicts(words, vocab, rest))
+    shown = learned(pairs, vocab) if pairs is not None else []
+    once = staged(verdicts(words, vocab, rest, pairs=shown))
     names = texts.sparkSession.createDataFrame([(w,) for w in known] or [("",)], "word string")
     misread = frozenset(r["word"] for r in once.where("first and word <> ''").select("word").join(names, "word", "left_semi").collect())
     doubted = sc.broadcast(misread)
     weak = once.where("first").select("word").join(rest, "word", "left_semi") if rest is not None else None
     several = words.join(once.where("size(readings) > 1").select("word"), "word", "left_semi")
-    judged = staged(once.where("size(readings) <= 1").unionByName(verdicts(several, vocab, rest, doubted, weak)))
+    judged = staged(once.where("size(readings) <= 1").unionByName(verdicts(several, vocab, rest, doubted, weak, shown)))
     good = sc.broadcast(frozenset(w for w in known if w not in misread))
-    near = judged.where("first").where((F.size("readings") > 1) & (F.col("readings")[0]["score"] - F.col("readings")[1]["score"] < MARGIN))
-    printed = near.select(F.explode("readings.printed").alias("word")).distinct()
-    # Those among the broadcast words are bounded by them; the others aren't known to be good, so their facts count them.
-    watch = sc.broadcast(frozenset(r[0] for r in printed.join(names, "word", "left_semi").collect()))
-    facts = staged(read_lines(texts, hubs, good, watch))
+    # Readings of words that have several. Those among the broadcast words are bounded by them; the others aren't known to be good,
+    # so their facts count them.
+    printed = judged.where("first and size(readings) > 1").select(F.explode("readings.printed").alias("word")).distinct()
+    watch = sc.broadcast(frozenset(r[0] for r in printed.join(names, "word", "left_semi").collect()) if contexts else frozenset())
+    by_text = running.groupBy("tab", "row_key").agg(F.collect_set("line_no").alias("lines"))
+    facts = staged(read_lines(texts, by_text, good, watch))
     furniture = facts.where("kind in ('running', 'number')").select("tab", "row_key", "line_no", "kind")
     cut_types = facts.where(F.col("kind") == "word").where(F.col("word").contains(_CUT)).groupBy("word").agg(F.count("*").alias("count"))
-    every = judged.unionByName(verdicts(cut_types, vocab, rest, doubted, weak))
-    marked = facts.where(F.col("kind") == "word").join(every.where("cut or first or second or size(readings) > 0"), "word").select(
+    every = judged.unionByName(verdicts(cut_types, vocab, rest, doubted, weak, shown))
+    # A short first word is judged unless a cut word goes before it; a sign that no word has tells a misreading in any case.
+    odd = "[" + re.escape("".join(sorted(FOREIGN))) + "]"
+    opened = facts.where("kind = 'open'").select("before").distinct()
+    starts = facts.where("kind = 'start'")
+    alone = starts.join(opened, "before", "left_anti").unionByName(starts.where(F.col("word").rlike(odd)).join(opened, "before", "left_semi"), allowMissingColumns=True)
+    own = facts.where("kind = 'word'").unionByName(alone.select(*[F.lit("").alias(c) if c == "before" else F.col(c) for c in facts.columns]))
+    marked = own.join(every.where("cut or first or second or size(readings) > 0"), "word").select(
         "tab", "row_key", "line_no", "rest_no", "word", "before", "cut", "first", "second", "readings"
     )
-    contexts = facts.where("kind = 'context'").groupBy("before", "word").agg(F.sum("line_no").alias("times"))
+    if not contexts:
+        return furniture, marked, None
+    counts = facts.where("kind = 'context'").groupBy("before", "word").agg(F.sum("line_no").alias("times"))
     if rest is not None:
         others = printed.join(names, "word", "left_anti")
-        own = facts.where("kind = 'word'").join(others, "word", "left_semi").groupBy("before", "word").agg(F.count("*").alias("times"))
-        contexts = contexts.unionByName(own)
-    return furniture, marked, contexts
+        more = facts.where("kind = 'word'").join(others, "word", "left_semi").groupBy("before", "word").agg(F.count("*").alias("times"))
+        counts = counts.unionByName(more)
+    return furniture, marked, counts
 
 
 def found_lines(furniture: DataFrame, marked: DataFrame) -> DataFrame:
@@ -401,9 +469,7 @@ def found_lines(furniture: DataFrame, marked: DataFrame) -> DataFrame:
 def chosen_readings(marked: DataFrame, contexts: DataFrame) -> DataFrame:
     """``marked`` with the ``printed`` word of each: the reading with the best score, to which the
     logarithm of how often it follows the word before is added."""
-    options = marked.withColumn("_id", F.xxhash64("tab", "row_key", "line_no", "word", "before")).withColumn(
-        "option", F.explode_outer("readings")
-    )
+    options = marked.withColumn("option", F.explode_outer("readings"))
     scored = options.join(
         contexts.select("before", F.col("word").alias("_printed"), "times"),
         (options["before"] == contexts["before"]) & (F.col("option.printed") == F.col("_printed")),

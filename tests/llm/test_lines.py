@@ -1,10 +1,12 @@
+import random
+
 import pytest
 
 from bindery.llm import boilerplate as B
 from bindery.llm import lines as L
 
-NUMBERS = ["12", "[12]", "- 12 -", "Page 12", "p. 8", "**20**", "8 / 64", "[lO]", "[l4]", "iv", "[iii]", "- l4 -", "Seite 5", "[v]"]
-WORDS = ["", "mild.", "1688.", "a", "dim", "civil", "the", "* * *", "Of 12 ships", "4 crowns"]
+NUMBERS = ["12", "[12]", "- 12 -", "Page 12", "p. 8", "**20**", "8 / 64", "[lO]", "[l4]", "iv", "[iii]", "- l4 -", "Seite 5", "[v]", "--------- Page 123 ---------", "* * * * * * * * 12 * * * * * * * *"]
+WORDS = ["", "mild.", "1688.", "a", "dim", "civil", "the", "* * *", "Of 12 ships", "4 crowns", "-----------------------------", "page after page of 1234 and more 12"]
 
 
 def test_page_numbers():
@@ -20,10 +22,6 @@ def test_keys_survive_print_and_scan():
     assert L.line_keys("Дом на горе")[0] != L.line_keys("Лес у реки")[0] != ""
 
 
-def test_within():
-    assert L.within("abc", "abc", 0) and L.within("abcd", "abd", 1) and not L.within("abcd", "ab", 1) and L.within("", "a", 1)
-
-
 def frame(spark, pages):
     return spark.createDataFrame([(*p, "x") for p in pages], "book string, page string, head string, body string, hub string")
 
@@ -52,13 +50,76 @@ def test_repeated_lines(spark, rows, book):
     assert clean["p0"] == ("", "Only here number aaaaa\n0") and clean["q"] == (None, "") and clean["c1"] == ("The Lower Rivers", "So ran the tide")
 
 
-def test_same_result_without_broadcast(rows, book, monkeypatch):
+def test_same_result_with_a_full_filter(rows, book, monkeypatch):
     want = rows(B.repeated_lines(book, ["head", "body"])[0])
-    monkeypatch.setattr(B, "BROADCAST_HASHES", -1)
-    monkeypatch.setattr(B, "BROADCAST_CHARS", -1)
+    monkeypatch.setattr(B, "BITS", 15)
     assert rows(B.repeated_lines(book, ["head", "body"])[0]) == want
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_copies_are_found_whatever_their_ends(spark, seed):
+    """Copies with so many edits as allowed, at any place, both ends always among them where there are two."""
+    r = random.Random(seed)
+    letters = "acdefgmnopruwxyz"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    hubs = [word(r.choice([3, 6, 9, 14, 20, 33, 60, 150])) for _ in range(40)]
+    lines, want = [], set()
+    for n, hub in enumerate(hubs):
+        for k in range(6):
+            key, left, shift = list(hub), L.allowed(len(hub)), 0
+            places = [0, len(hub) - 1, *r.sample(range(len(hub)), min(left, len(hub)))][:left]
+            for at in sorted(places, reverse=True):
+                how = r.choice("sid") if abs(shift) < L.SHIFT else "s"
+                shift += {"s": 0, "i": 1, "d": -1}[how]
+                key[at : at + (how != "i")] = [] if how == "d" else [r.choice(letters)]
+            lines.append(("b", f"{n} {k}", "x", 1, "".join(key)))
+            want.add((f"{n} {k}", hub))
+        lines.append(("c", f"{n} other", "x", 1, hub))
+    lines += [("b", f"far {n}", "x", 1, word(20)) for n in range(50)]
+    df = spark.createDataFrame(lines, "book string, page string, field string, line_no int, key string").selectExpr("*", "xxhash64(book, key) h")
+    known = spark.createDataFrame([("b", h, 9) for h in hubs], "source string, hub string, pages long")
+    got = {(x["page"], x["hub"]) for x in B.copies(df, known).collect()}
+    keys = {x[1]: x[4] for x in lines}
+    assert all(edits(keys[p], h) <= L.allowed(len(h)) for p, h in got)
+    found = {p for p, _ in got}
+    assert {p for p, _ in want} <= found and not any(p.startswith("far") or p.endswith("other") for p in found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_are_those_of_a_greedy_choice(spark, seed):
+    r = random.Random(seed)
+    hubs = {("b", "".join(r.choice("ab") for _ in range(7))): r.randint(2, 9) for _ in range(40)} | {("c", "aaaaaaa"): 2}
+    stay = []
+    for (source, hub), pages in sorted(hubs.items(), key=lambda x: (-x[1], x[0][1])):
+        if not any(s == source and edits(hub, h) <= L.allowed(len(h)) for s, h in stay):
+            stay.append((source, hub))
+    df = spark.createDataFrame([(*k, v) for k, v in hubs.items()], "source string, hub string, pages long")
+    df = B.numbered(df)
+    assert {(x["source"], x["hub"]) for x in B.leaders(df, B.hub_pieces(df)).collect()} == set(stay)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    r = random.Random(seed)
+    edges = [(i, i + 1) for i in range(60)] if seed == 0 else [(r.randint(0, 80), r.randint(0, 80)) for _ in range(55)]
+    edges = [(a, b) for a, b in edges if a != b]
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {x["node"]: x["least"] for x in B.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == least
+
+
 def test_empty(book):
     found, hubs = B.repeated_lines(book.limit(0), ["head", "body"])
     assert found.count() == 0 and hubs.count() == 0 and B.blocks(found).count() == 0

@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 import pytest
@@ -21,7 +22,7 @@ def brute(word, vocabulary):
         cost.setdefault(w, 1)
     # Two confusions may not overlap; recombining pairs of places of the printed word gives the same set.
     for v in vocabulary:
-        if C.explained(v, word) == 2:
+        if C.Confusions().explained(v, word) == 2:
             cost.setdefault(v, 2)
     for i, c in product(range(len(word) + 1), letters):
         for w in (word[:i] + c + word[i:], word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 :]):
@@ -54,14 +55,12 @@ def texts(spark):
 
 
 @pytest.fixture
-def hubs(spark):
-    from bindery.llm.lines import line_keys
+def running(spark):
+    return spark.createDataFrame([("page", "p", 1), ("page", "p", 5)], "tab string, row_key string, line_no int")
 
-    return spark.createDataFrame([("b", line_keys("THE RIVERS")[0], 9)], "book string, key string, pages long")
 
-
-def test_found(texts, hubs):
-    furniture, marked, _ = S.findings(texts, hubs)
+def test_found(texts, running):
+    furniture, marked, _ = S.findings(texts, running)
     got = {tuple(r) for r in S.found_lines(furniture, marked).collect()}
     assert got == {
         ("page", "p", 1, "running"),
@@ -76,20 +75,20 @@ def test_found(texts, hubs):
     }
 
 
-def test_partitions_without_rows(texts, hubs):
+def test_partitions_without_rows(texts, running):
     few = texts.where("row_key = 'q'").repartition(7)
-    furniture, marked, _ = S.findings(few, hubs.limit(0))
+    furniture, marked, _ = S.findings(few, running.limit(0))
     assert S.found_lines(furniture, marked).count() == 0  # a vocabulary of one text knows nothing better
 
 
-def test_repaired(texts, hubs):
-    got = {r["row_key"]: r["text"] for r in S.repaired(texts, *S.findings(texts, hubs)).collect()}
+def test_repaired(texts, running):
+    got = {r["row_key"]: r["text"] for r in S.repaired(texts, *S.findings(texts, running)).collect()}
     assert got["p"] == "the harbour were inspected the tide-table the end of har"
     assert got["q"] == "were were" and got["n"] is None and got["e"] == "" and len(got["w"]) == 100_000
 
 
-def test_empty(texts, hubs):
-    furniture, marked, contexts = S.findings(texts.limit(0), hubs.limit(0))
+def test_empty(texts, running):
+    furniture, marked, contexts = S.findings(texts.limit(0), running.limit(0))
     assert S.found_lines(furniture, marked).count() == 0
 
 
@@ -97,3 +96,32 @@ def test_reflow():
     text = "# Head\nOne two\n\nthree. \n\nFour five-\nsix"
     assert S.reflow(text, set(), {6: False}, {}) == "# Head\n\nOne two three.\n\nFour five-six"
     assert S.reflow("Tbe M0DERN end", set(), {}, {1: {"tbe": "the", "m0dern": "modern"}}) == "The MODERN end"
+
+
+def test_automaton_over_random_words():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("clidrn") for _ in range(r.randint(1, 5)))
+    vocabulary = dict.fromkeys((word() for _ in range(300)), 1)
+    for w in [word() for _ in range(60)]:
+        assert C.Trie(vocabulary).candidates(w) == brute(w, vocabulary)
+
+
+def test_confusions_are_learned_from_two_readings(spark):
+    nouns = "house horse hotel honey harbour hammer herring heather hollow hedge".split()
+    text = "\n".join(f"the {w} stood here" for w in nouns * 30)
+    pairs = spark.createDataFrame([(text, text.replace("the h", "the n"))] * 3 + [("a b", "a"), ("", "x")], "one string, other string")
+    known = {w: 90 for w in [*nouns, "the", "stood", "here"]}
+    assert S.learned(pairs, spark.sparkContext.broadcast(known)) == [("h", "n")]
+    assert S.learned(pairs.limit(0), spark.sparkContext.broadcast(known)) == []
+    plain, taught = C.Trie(known), C.Trie(known, confusions=C.Confusions([("h", "n")]))
+    assert S.judge("nouse", 1, plain, sorted(known))[1] is False and S.judge("nouse", 1, taught, sorted(known))[1] is True
+
+
+def test_short_first_words_are_judged_by_the_page_before(spark):
+    base = "the modern harbour were inspected and the tide said so\n" * 90
+    rows = [("page", "big", base, None, None), ("page", "a", "the modern harb-", "b|1", "b|2"), ("page", "b", "tbe harbour", "b|2", "b|3"), ("page", "c", "tbe harbour", "b|3", "b|4"), ("page", "d", "the modern mod-", "b|4", "b|5"), ("page", "e", "t0 harbour", "b|5", None)]
+    texts = spark.createDataFrame(rows, "tab string, row_key string, text string, place string, following string")
+    none = spark.createDataFrame([], "tab string, row_key string, line_no int")
+    furniture, marked, _ = S.findings(texts, none)
+    got = {tuple(r) for r in S.found_lines(furniture, marked).collect()}
+    assert got == {("page", "a", 1, "hyphen"), ("page", "c", 1, "misread"), ("page", "d", 1, "hyphen"), ("page", "e", 1, "misread")}

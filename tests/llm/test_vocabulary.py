@@ -32,7 +32,7 @@ def test_shards_hold_all_candidates(seed):
             shards.setdefault(k, set()).add(v)
     trie = C.Trie(dict.fromkeys(vocabulary, 1))
     for w in [word() for _ in range(300)]:
-        near = {v for k in C.search_keys(w) for v in shards.get(k, ())}
+        near = {v for k in C.Confusions().search_keys(w) for v in shards.get(k, ())}
         assert trie.candidates(w).keys() <= near
 
 
@@ -47,10 +47,10 @@ def texts(spark):
 
 @pytest.mark.parametrize("broadcast, part", [(1, 50_000), (4, 1)])
 def test_same_result_without_broadcast(spark, texts, monkeypatch, broadcast, part):
-    hubs = spark.createDataFrame([], "book string, key string, pages long")
+    running = spark.createDataFrame([], "tab string, row_key string, line_no int")
 
     def results():
-        noise = S.findings(texts, hubs)
+        noise = S.findings(texts, running)
         return {tuple(r) for r in S.found_lines(*noise[:2]).collect()}, {tuple(r) for r in S.repaired(texts.drop("book"), *noise).collect()}
 
     want = results()
