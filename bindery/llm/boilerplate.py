@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from ..plans.staging import counted, dropped, staged
 from . import lines as L
 
 SUPPORT = 8
+#: So many 8-byte hashes may be broadcast as they are, which costs less than a filter of them.
+BROADCAST_HASHES = 1_000_000
+#: Lengths of lines near so many hubs may be broadcast.
+BROADCAST_HUBS = 200_000
 #: Bits of a filter: 16 MB whatever the input; beyond some ten million hashes it only lets more through.
 BITS = 27
 
@@ -27,21 +32,26 @@ def _keys(text: str) -> list[str]:
     return ["" if k in L.PAGE_KEYS else k for k in keys]
 
 
-def keyed_lines(docs: DataFrame, ids: list[str], fields: list[str]) -> DataFrame:
+def keyed_lines(docs: DataFrame, ids: list[str], fields: list[str], hubs: DataFrame | None = None) -> DataFrame:
     """``*ids, field, line_no, key, h`` of every line with a key; h is a hash of the first of ``ids``, the source, and the key.
-    Rows whose ids aren't all given have none."""
+    Rows whose ids aren't all given have none. With ``hubs(source, hub)`` lines of a length that no hub of their source is near may be
+    left out, and are if the lengths may be broadcast."""
+    lengths = _broadcast_lengths(hubs) if hubs is not None else None
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ids)
 
     def read(batches):
+        wanted = None if lengths is None else lengths.value
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
                 of, names, numbers, keys = [], [], [], []
+                sources = list(part[ids[0]])
                 for field in fields:
                     for i, text in enumerate(part[field]):
-                        if text:
+                        near = wanted is None or wanted.get(sources[i])
+                        if text and near:
                             for no, k in enumerate(_keys(text), 1):
-                                if k:
+                                if k and (near is True or len(k) in near):
                                     of.append(i)
                                     names.append(field)
                                     numbers.append(no)
@@ -53,6 +63,14 @@ def keyed_lines(docs: DataFrame, ids: list[str], fields: list[str]) -> DataFrame
     return whole.mapInPandas(read, f"{schema}, field string, line_no int, key string").withColumn("h", F.xxhash64(ids[0], "key"))
 
 
+def _broadcast_lengths(hubs: DataFrame):
+    """The lengths of lines that may be copies of a hub, by source, to all tasks; None if there are too many."""
+    pairs = _lengths(numbered(hubs)).groupBy("source").agg(F.collect_set("_l").alias("lengths"))
+    if hubs.count() > BROADCAST_HUBS:
+        return None
+    return hubs.sparkSession.sparkContext.broadcast({r["source"]: frozenset(r["lengths"]) for r in pairs.collect()})
+
+
 # Filters: bits of hashes, by which rows that can't meet anything in a join are left out before they are shuffled.
 
 
@@ -65,7 +83,21 @@ def bits_of(hashes: DataFrame):
     whole = np.zeros(1 << (BITS - 3), dtype=np.uint8)
     for r in rows:
         whole[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(whole)
+    # Sparse bits pack well, and what is broadcast lies on the disk of every machine.
+    return hashes.sparkSession.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
+
+
+_OPENED: dict = {}
+
+
+def _opened(bits) -> np.ndarray:
+    """The bits of a filter, unpacked once in each Python worker."""
+    key = getattr(bits, "_path", None) or id(bits)
+    if key not in _OPENED:
+        if len(_OPENED) >= 2:
+            _OPENED.clear()
+        _OPENED[key] = np.frombuffer(zlib.decompress(bits.value), dtype=np.uint8)
+    return _OPENED[key]
 
 
 def passing(df: DataFrame, column: str, bits) -> DataFrame:
@@ -73,7 +105,7 @@ def passing(df: DataFrame, column: str, bits) -> DataFrame:
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
+        table = _opened(bits)
         for b in batches:
             hashes = b.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)
             yield b.filter(pa.array((table[hashes >> np.uint64(3)] >> (hashes & np.uint64(7)).astype(np.uint8)) & 1 > 0))
@@ -81,6 +113,15 @@ def passing(df: DataFrame, column: str, bits) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def meeting(df: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """The rows of which a hash is among ``hashes``, a staged table, and perhaps some more: those hashes themselves are sent to all
+    tasks if there are few, else a filter of them."""
+    few = hashes.distinct().limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+    if few:
+        return df.join(F.broadcast(hashes.toDF(column).distinct()), column, "left_semi").select(*df.columns)
+    return passing(df, column, bits_of(hashes))
+
+
 # Near lines: a copy within e edits of a line leaves one of e + 1 pieces as it is, at a place shifted by few letters.
 
 
@@ -174,13 +215,13 @@ def copies(lines: DataFrame, hubs: DataFrame, pieces: DataFrame | None = None) -
     pieces = staged(hub_pieces(hubs)) if pieces is None else pieces.join(hubs.select("id"), "id", "left_semi")
     keyed = lines.select(F.col(source).alias("source"), "key", "h", F.xxhash64(F.col(source), F.length("key")).alias("sized"))
     lengths = _lengths(hubs).select(F.xxhash64("source", "_l").alias("sized"))
-    some = line_pieces(passing(keyed, "sized", bits_of(lengths)).drop("sized"))
+    some = line_pieces(meeting(keyed, "sized", lengths).drop("sized"))
     each = staged(passing(some, "piece", bits_of(pieces.select("piece"))).distinct())
     best = F.min(F.struct((-F.col("pages")).alias("order"), "hub"))["hub"]
     named = near(each, pieces, hubs).groupBy("h").agg(best.alias("hub"), F.first("source").alias(source))
     named = staged(named)
     kept = [c for c in lines.columns if c not in (source, "key", "h")]
-    out = passing(lines.select(*kept, "h"), "h", bits_of(named.select("h"))).join(named, "h").select(source, *kept, "hub")
+    out = meeting(lines.select(*kept, "h"), "h", named.select("h")).join(named, "h").select(source, *kept, "hub")
     found = staged(out.distinct())
     dropped(named, each)
     return found
@@ -200,7 +241,7 @@ def repeated_lines(docs: DataFrame, fields: list[str], support: int = SUPPORT) -
     placed = lines.withColumn("p", F.xxhash64("page"))
     several = staged(placed.groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("h"))
     # Pages are told apart before they are counted by key alone: a key may be on a third of all pages.
-    pairs = passing(placed.select("book", "key", "h", "p"), "h", bits_of(several)).join(several, "h").distinct()
+    pairs = meeting(placed.select("book", "key", "h", "p"), "h", several).join(several, "h").distinct()
     counts = pairs.groupBy("book", "key").agg(F.count("*").alias("pages"))
     hubs = staged(numbered(counts.select(F.col("book").alias("source"), F.col("key").alias("hub"), "pages")))
     pieces = staged(hub_pieces(hubs))
