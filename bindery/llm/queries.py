@@ -49,6 +49,25 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_long(_once(_long_texts(spark, folder), ["field", "row_key"]), "text", LIMIT, OVERLAP)
 
 
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized text put together again, held against the text: its length and digest, and whether all pieces
+    are within the limit and the overlaps within theirs."""
+    pieces = p1_pieces(spark, folder)
+    fresh = F.substring("text", F.col("piece_fresh") - F.col("piece_start") + 1, F.col("piece_end") - F.col("piece_fresh"))
+    own = pieces.select("field", "row_key", "piece_no", fresh.alias("part"), F.length("text").alias("size"), (F.col("piece_fresh") - F.col("piece_start")).alias("again"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "part"))), lambda x: x["part"]), "")
+    return own.groupBy("field", "row_key").agg(
+        whole.alias("whole"), (F.max("size") <= LIMIT).alias("within_limit"), (F.max("again") <= OVERLAP).alias("within_overlap"), (F.count("*") > 1).alias("cut")
+    ).select("field", "row_key", F.length("whole").alias("characters"), F.md5("whole").alias("digest"), "within_limit", "within_overlap", "cut")
+
+
+P1_REJOINED_SQL = """
+with t as (select 'mechanical_text' as field, unique_key as row_key, mechanical_text as text from chapter where length(mechanical_text) > 4096
+ union select 'polished_text', unique_key, polished_text from chapter where length(polished_text) > 4096
+ union select 'source_text', unique_key, source_text from audio_segment where length(source_text) > 4096)
+select field, row_key, length(text)::int as characters, md5(text) as digest, true as within_limit, true as within_overlap, true as cut from t
+"""
+
 P1_SQL = """
 select 'mechanical_text' as field, unique_key as row_key from chapter where length(mechanical_text) > 4096
 union
@@ -100,6 +119,34 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return _percentiles(parts, "day").unionByName(_percentiles(parts))
 
 
+def p3_within_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the percentiles of all days lie as near to the true ranks as stated: of each the calls below and up to it are
+    counted. Answers are one standard deviation off on average, so no more than three is a promise with rare exceptions."""
+    found = _percentiles(staged(_daily_sketches(spark, folder))).drop("day")
+    names = [f"p{round(p * 100)}" for p in PROBS]
+    asked = found.select("provider", "stage", "measure", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.col(k).alias("answer")) for k, p in zip(names, PROBS)])).alias("q"))
+    asked = asked.select("provider", "stage", "measure", "n", "q.prob", "q.answer")
+    values = _calls_once(spark, folder).select("provider", "stage", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("cost_usd", "execution_seconds")])).alias("m"))
+    by_value = values.select("provider", "stage", "m.measure", "m.v").groupBy("provider", "stage", "measure", "v").agg(F.count("*").alias("c"))
+    ranks = asked.join(by_value, ["provider", "stage", "measure"]).groupBy("provider", "stage", "measure", "n", "prob").agg(
+        F.sum(F.when(F.col("v") < F.col("answer"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("answer"), F.col("c")).otherwise(0)).alias("upto")
+    )
+    wanted, slack = F.ceil(F.col("prob") * F.col("n")), F.lit(quantiles.RELATIVE_ERROR) * (1 - F.col("prob")) * F.col("n") + 1
+    good = (F.col("below") < wanted + slack) & (F.col("upto") >= wanted - slack)
+    return ranks.groupBy("provider", "stage", "measure", "n").agg(F.bool_and(good).alias("within_error")).select("provider", "stage", "measure", "n", "within_error")
+
+
+P3_WITHIN_SQL = """
+with m as (select distinct _docid, coalesce(provider, '') as provider, coalesce(stage, '') as stage from metric)
+select provider, stage, measure, count(*) as n, true as within_error from m, (select unnest(['cost_usd', 'execution_seconds']) as measure) group by 1, 2, 3
+"""
+
+
+def _calls_once(spark: SparkSession, folder: str) -> DataFrame:
+    calls = table(spark, folder, "metric", "_docid", "provider", "stage", "cost_usd", "execution_seconds").dropDuplicates(["_docid"])
+    return calls.select(blank("provider").alias("provider"), blank("stage").alias("stage"), zero("cost_usd").alias("cost_usd"), zero("execution_seconds").alias("execution_seconds"))
+
+
 def p3_daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
     """The sketch of each day, provider, stage and measure, to be stored and put together later."""
     return quantiles.merged(_daily_sketches(spark, folder), ["day", "provider", "stage"], 1)
@@ -205,8 +252,9 @@ def _noise(spark: SparkSession, folder: str, contexts: bool) -> tuple[DataFrame,
     found, hubs = boilerplate.repeated_lines(_pages(spark, folder), FIELDS)
     texts = _scans(spark, folder)
     # Lines of pages are known; those of the other tables are running lines if they are copies of a hub of the book.
-    others = boilerplate.keyed_lines(texts.where("tab <> 'page'"), ["book", "tab", "row_key"], ["text"])
-    copies = boilerplate.copies(staged(others), hubs.withColumnsRenamed({"book": "source", "key": "hub"}))
+    strong = hubs.withColumnsRenamed({"book": "source", "key": "hub"})
+    others = boilerplate.keyed_lines(texts.where("tab <> 'page'"), ["book", "tab", "row_key"], ["text"], strong)
+    copies = boilerplate.copies(staged(others), strong)
     pages = found.where("field = 'ocr_markdown'").select(F.lit("page").alias("tab"), F.col("page").alias("row_key"), "line_no")
     running = pages.unionByName(copies.select("tab", "row_key", "line_no"))
     return texts, scans.findings(texts, running, _reading_pairs(spark, folder), contexts)
@@ -252,6 +300,31 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and what must be none: those lost, containers over the capacity, documents cut that would have fitted, parts of a
+    document that don't add up to it; and whether the containers are within a hundredth of the least number that could do."""
+    packed = staged(p7_packed(spark, folder))
+    fill = packed.groupBy("container").agg(F.sum("part_size").alias("fill"))
+    docs = packed.groupBy("doc_id").agg(F.max("tokens").alias("tokens"), F.sum("part_size").alias("sum"), F.count("*").alias("parts"))
+    all_docs = table(spark, folder, "documents", "doc_id")
+    lost = all_docs.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("lost"), F.lit(1).alias("k"))
+    d = docs.agg(
+        F.count("*").alias("documents"),
+        F.count_if((F.col("parts") > 1) & (F.col("tokens") <= CAPACITY)).alias("wrongly_cut"),
+        F.count_if(F.col("sum") != F.col("tokens")).alias("incomplete"),
+        F.lit(1).alias("k"),
+    )
+    c = fill.agg(
+        F.count_if(F.col("fill") > CAPACITY).alias("overfull"),
+        (F.count_if(F.col("fill") > 0) <= F.ceil(F.sum("fill") / CAPACITY) * 1.01 + 1).alias("nearly_least"),
+        F.lit(1).alias("k"),
+    )
+    return d.join(c, "k").join(lost, "k").drop("k")
+
+
+P7_CHECKED_SQL = "select count(*) as documents, 0::bigint as wrongly_cut, 0::bigint as incomplete, 0::bigint as overfull, true as nearly_least, 0::bigint as lost from documents"
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = _sizes(spark, folder)
     chosen = mixing.rates(sizes, table(spark, folder, "mix_target"), "source", "tokens")
@@ -283,6 +356,27 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source of the mix: whether no document is used more often than allowed, whether the documents used are as many as
+    expected but for one, and whether its share of all tokens is as near to the target as its longest document and that of
+    the source with the longest allow."""
+    used, chosen = _mix(spark, folder)
+    used = staged(used)
+    own = used.groupBy("source").agg(F.sum("repeats").alias("copies_used"), F.max("repeats").alias("most"), F.sum(F.col("tokens") * F.col("repeats")).alias("size"), F.max("tokens").alias("longest"))
+    counts = table(spark, folder, "documents", "source", "doc_id", "text").where("text <> ''").groupBy("source").agg(F.count("*").alias("documents"))
+    whole = own.agg(F.sum("size").alias("whole"), F.sum("longest").alias("slack"), F.lit(1).alias("k"))
+    j = chosen.join(own, "source", "left").join(counts, "source", "left").withColumn("k", F.lit(1)).join(whole, "k")
+    near = F.abs(F.coalesce("size", F.lit(0)) / F.col("whole") - F.col("share")) <= F.col("slack") / F.col("whole")
+    as_many = F.abs(F.coalesce("copies_used", F.lit(0)) - F.col("copies") * F.col("documents")) <= 1
+    return j.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), as_many.alias("as_many"), near.alias("near_target"))
+
+
+P8_CHECKED_SQL = """
+select source, true as within_repeats, true as as_many, true as near_target from (select distinct source from mix_target where target_share > 0 and max_repeats > 0)
+where source in (select source from documents where coalesce(text, '') <> '')
+"""
+
+
 # p9: abusive content
 
 
@@ -316,7 +410,9 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rejoined": p1_rejoined,
     "p3_percentiles": p3_percentiles,
+    "p3_within_error": p3_within_error,
     "p3_daily_sketches": p3_daily_sketches,
     "p3_file_sketches": p3_file_sketches,
     "p3_percentiles_of_mondays": p3_percentiles_of_mondays,
@@ -327,10 +423,18 @@ QUERIES = {
     "p6_clean": p6_clean,
     "p7_packed": p7_packed,
     "p7_containers": p7_containers,
+    "p7_checked": p7_checked,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_checked": p8_checked,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
 }
-SQL = {"p1_found": P1_SQL}
+SQL = {
+    "p1_found": P1_SQL,
+    "p1_rejoined": P1_REJOINED_SQL,
+    "p3_within_error": P3_WITHIN_SQL,
+    "p7_checked": P7_CHECKED_SQL,
+    "p8_checked": P8_CHECKED_SQL,
+}

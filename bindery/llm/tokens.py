@@ -46,17 +46,21 @@ def ranked(df: DataFrame, groups: list[str], coarse: list[str], ids: list[str],
 
     No task holds a group: rows are counted by group, coarse value and hash bucket (combined before
     the shuffle), the counts are summed up into offsets, and a row's rank is its bucket's offset plus
-    its place in the bucket. ``df`` is read twice and should be staged.
+    its place in the bucket. The offsets of coarse values in a group come first, then those of buckets in a coarse value, so
+    neither is as long as all buckets of a group. ``df`` is read twice and should be staged.
     """
     salts = salts or default_salts(df.sparkSession, 16, 4)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
     bucket = [*groups, *coarse, "_salt"]
-    order = Window.partitionBy(*groups).orderBy(*coarse, "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        salted.groupBy(*bucket)
-        .agg(F.count("*").alias("_n"))
-        .select(*bucket, F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
-    )
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy(*bucket).agg(F.count("*").alias("_n"))
+    inner = upto(Window.partitionBy(*groups, *coarse).orderBy("_salt"))
+    offsets = counts.select(*bucket, F.coalesce(F.sum("_n").over(inner), F.lit(0)).alias("_offset"))
+    if coarse:
+        outer = upto(Window.partitionBy(*groups).orderBy(*coarse))
+        sums = counts.groupBy(*groups, *coarse).agg(F.sum("_n").alias("_n"))
+        starts = sums.select(*groups, *coarse, F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_start"))
+        offsets = offsets.join(starts, [*groups, *coarse]).withColumn("_offset", F.col("_offset") + F.col("_start")).drop("_start")
     place = F.row_number().over(Window.partitionBy(*bucket).orderBy(*ids))
     return (
         salted.join(offsets, bucket)

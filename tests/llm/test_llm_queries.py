@@ -24,12 +24,14 @@ def test_found_columns(spark, data):
         assert df.columns == columns and df.count() == df.distinct().count()
 
 
-def test_p1_against_sql(spark, data):
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_against_sql(spark, data, name):
     con = duckdb.connect()
     for f in os.listdir(data):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{data}/{f}')")
-    want = sorted(con.execute(Q.SQL["p1_found"]).fetchall())
-    assert sorted(tuple(r) for r in Q.p1_found(spark, data).collect()) == want
+    want = con.execute(Q.SQL[name]).df()
+    got = Q.QUERIES[name](spark, data).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.itertuples(index=False))) == sorted(map(tuple, want.itertuples(index=False)))
 
 
 def test_percentiles_count_every_call_once(spark, data):
