@@ -389,7 +389,8 @@ def read_lines(texts: DataFrame, running: DataFrame, good, watch) -> DataFrame:
             yield frame
 
     placed = texts.withColumns({c: F.lit(None).cast("string") for c in ("place", "following") if c not in texts.columns})
-    rows = placed.join(running, ["tab", "row_key"], "left").select("tab", "row_key", "text", "lines", "place", "following")
+    # Row keys are as good as unique, so parts of the running lines are small enough to be hashed; texts needn't be sorted.
+    rows = placed.join(running.hint("shuffle_hash"), ["tab", "row_key"], "left").select("tab", "row_key", "text", "lines", "place", "following")
     return rows.mapInPandas(
         run, "tab string, row_key string, line_no int, rest_no int, kind string, word string, before string"
     )
