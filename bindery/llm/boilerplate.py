@@ -169,11 +169,12 @@ def hub_pieces(hubs: DataFrame) -> DataFrame:
     return shifted.where(fits).select("id", _piece(F.col("source"), F.col("_l"), F.col("_i"), F.substring("hub", first + 1, size)).alias("piece"))
 
 
-def near(each: DataFrame, pieces: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``h, source, key, id, hub, pages`` of each key of ``each(source, key, h, piece)`` and each of ``hubs`` (see ``numbered``, ``hub_pieces``)
-    that it is within the allowed edits of, once. ``each`` is read twice and should be staged."""
-    met = each.join(passing(pieces, "piece", bits_of(each.select("piece"))), "piece").select("h", "source", "key", "id").distinct()
-    both = met.join(hubs.withColumnRenamed("source", "_source"), "id").where("source = _source")
+def near(each: DataFrame, pieces: DataFrame, hubs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``h, source, key, id, hub, pages`` of each key of ``keys(source, key, h)`` and each of ``hubs`` (see ``numbered``, ``hub_pieces``)
+    that it is within the allowed edits of, once. ``each(h, piece)`` are the keys' pieces; it is read twice and should be staged."""
+    met = staged(each.join(passing(pieces, "piece", bits_of(each.select("piece"))), "piece").select("h", "id").distinct())
+    own = meeting(keys, "h", met.select("h")).distinct()
+    both = met.join(own, "h").join(hubs.withColumnRenamed("source", "_source"), "id").where("source = _source")
     most = _allowed(F.length("hub"))
     close = both.where(F.abs(F.length("key") - F.length("hub")) <= most).where(F.levenshtein("key", "hub") <= most)
     return close.select("h", "source", "key", "id", "hub", "pages")
@@ -186,7 +187,7 @@ def leaders(hubs: DataFrame, pieces: DataFrame) -> DataFrame:
     strongest of those that are left; there are as many rounds as the longest chain of ever weaker hubs near each other.
     """
     keys = hubs.select("source", F.col("hub").alias("key"), F.col("id").alias("h"))
-    pairs = near(staged(line_pieces(keys)), pieces, hubs).join(hubs.select(F.col("id").alias("h"), F.col("pages").alias("own")), "h")
+    pairs = near(staged(line_pieces(keys).select("h", "piece")), pieces, hubs, keys).join(hubs.select(F.col("id").alias("h"), F.col("pages").alias("own")), "h")
     stronger = (F.col("pages") > F.col("own")) | ((F.col("pages") == F.col("own")) & (F.col("hub") < F.col("key")))
     edges, n = counted(pairs.where(stronger).select(F.col("h").alias("weak"), F.col("id").alias("strong")))
     if not n["rows"]:
@@ -215,10 +216,11 @@ def copies(lines: DataFrame, hubs: DataFrame, pieces: DataFrame | None = None) -
     pieces = staged(hub_pieces(hubs)) if pieces is None else pieces.join(hubs.select("id"), "id", "left_semi")
     keyed = lines.select(F.col(source).alias("source"), "key", "h", F.xxhash64(F.col(source), F.length("key")).alias("sized"))
     lengths = _lengths(hubs).select(F.xxhash64("source", "_l").alias("sized"))
-    some = line_pieces(meeting(keyed, "sized", lengths).drop("sized"))
+    some = line_pieces(meeting(keyed, "sized", lengths).drop("sized")).select("h", "piece")
     each = staged(passing(some, "piece", bits_of(pieces.select("piece"))).distinct())
+    keys = lines.select(F.col(source).alias("source"), "key", "h")
     best = F.min(F.struct((-F.col("pages")).alias("order"), "hub"))["hub"]
-    named = near(each, pieces, hubs).groupBy("h").agg(best.alias("hub"), F.first("source").alias(source))
+    named = near(each, pieces, hubs, keys).groupBy("h").agg(best.alias("hub"), F.first("source").alias(source))
     named = staged(named)
     kept = [c for c in lines.columns if c not in (source, "key", "h")]
     out = meeting(lines.select(*kept, "h"), "h", named.select("h")).join(named, "h").select(source, *kept, "hub")
