@@ -52,6 +52,7 @@ _BARE = re.compile(
     rf"[\W_]*(?:(?:{'|'.join(PAGE_WORDS)})[\W_]*)?(?:\d{{1,4}}|(?=[ivxlc]){_ROMAN})(?:\s*(?:/|of|von|sur|de)\s*\d{{1,4}})?[\W_]*",
     re.I,
 )
+_MARKS = re.compile(r"[\W_]{3}")
 _DRAWN = re.compile(r"([\W_]{1,2})\1+")
 _DECORATED = re.compile(r"\s*(?P<a>[\[(*–—~-]*\s*)(?P<n>[\dlIiOoSsBZz|!]{1,4}|[ivxlcIVXLC1|]{1,7})(?P<b>\s*[\])*–—~.-]*)\s*")
 
@@ -62,6 +63,8 @@ def is_page_number(line: str) -> bool:
     a sentence that is a number (a full stop right after it) is none."""
     s = line.strip()
     if len(s) > 24:  # long only by its decoration, or none
+        if not _MARKS.search(s):
+            return False
         s = _DRAWN.sub(r"\1", s)
         if len(s) > 24:
             return False
