@@ -110,6 +110,12 @@ def key_prefix(key: Column) -> Column:
     return F.when(at > 1, F.substring(key, F.lit(1), at - 1)).otherwise("")
 
 
+def second_part(key: Column, book: Column) -> Column:
+    """What stands in a key after its book up to the next colon; '' for keys of another book and null."""
+    rest = F.substring(key, F.length(book) + 2, F.length(key))
+    return F.when(F.startswith(key, F.concat(book, F.lit(":"))), F.substring_index(rest, ":", 1)).otherwise("")
+
+
 def title_case(text: Column) -> Column:
     """First letter in upper case, the rest as it is."""
     return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, F.lit(2), F.length(text)))
@@ -145,12 +151,6 @@ def escape_xml(text: Column) -> Column:
     return out
 
 
-def inline_markup(text: Column) -> Column:
-    """Bold and italics of escaped text as tags."""
-    out = F.regexp_replace(escape_xml(text), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    return F.regexp_replace(out, r"\*([^*]+)\*", "<em>$1</em>")
-
-
 def smil_time(ms: Column) -> Column:
     return F.format_string("%.3fs", ms / F.lit(1000.0))
 
@@ -176,3 +176,22 @@ def short_number(n: Column) -> Column:
         .when(n >= 1000, F.format_string("%.1fK", n / F.lit(1e3)))
         .otherwise(F.format_string("%d", n.cast("long")))
     )
+
+
+def snippets(text: Column, pattern: str, most: int = 3, around: int = 50) -> Column:
+    """The first matches of a pattern, each with the characters around it, which may hold other matches."""
+    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), 0), 1, most)
+    between = F.split(text, pattern, most + 1)
+    size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(y))
+
+    def cut(match, i):
+        start = size(F.slice(between, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
+        first = F.greatest(start - around, F.lit(0))
+        return F.substring(text, first + 1, start + F.length(match) + around - first)
+
+    return F.transform(found, cut)
+
+
+def confidence(word: Column) -> Column:
+    """high and medium as they are, all else low."""
+    return F.when(word.isin("high", "medium"), word).otherwise("low")

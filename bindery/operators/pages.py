@@ -28,13 +28,15 @@ def keyword_hits(text: Column, categories: dict[str, list[str]] = KEYWORDS) -> C
     """``array<struct<category, keywords>>``: distinct words of each category found in a text, sorted.
 
     Each word is a pattern by itself, so one inside another is found too. Words begin and end where ASCII
-    letters, digits or underscores do, but may go on after a number.
+    letters, digits or underscores do, but may go on after a number. Null for texts without any.
     """
 
     def patterns(name: str, words: list[str]) -> list[str]:
         edged = [f"(?i){T.EDGE_A}{w}{'' if w.endswith(chr(92) + 'd+') else T.EDGE_B}" for w in words]
         return edged + [f"(?mid)^{w}" for w in LINE_KEYWORDS.get(name, [])]
 
+    # One look for all words at once comes first: most pages hold none.
+    some = "(?mid)" + "|".join(x.replace("(?i)", "").replace("(?mid)", "") for name, words in categories.items() for x in patterns(name, words))
     found = [
         F.struct(
             F.lit(name).alias("category"),
@@ -44,7 +46,8 @@ def keyword_hits(text: Column, categories: dict[str, list[str]] = KEYWORDS) -> C
         )
         for name, words in categories.items()
     ]
-    return F.filter(F.array(*found), lambda x: F.size(x["keywords"]) > 0)
+    hits = F.filter(F.array(*found), lambda x: F.size(x["keywords"]) > 0)
+    return F.when(text.rlike(some), hits)
 
 
 def merged_text(df: DataFrame, group: list[str], order: str, text: str) -> DataFrame:

@@ -94,7 +94,8 @@ def gap_neighbourhood(spark, folder):
     """Chapters that start within twenty pages of a gap."""
     c = chapters(spark, folder, "start_page")
     g = W.gaps(c.join(books(spark, folder), "book_id"), "book_id", "start_page", F.lit(1), F.col("page_count"), 5).drop("size")
-    near = g.join(c, "book_id").where(F.col("start_page").between(F.col("gap_start") - 20, F.col("gap_end") + 20))
+    wide = g.withColumns({"a": F.col("gap_start") - 20, "z": F.col("gap_end") + 20})
+    near = W.in_ranges(c.where("start_page is not null"), "start_page", wide, "a", "z", ["book_id"])
     return near.select("book_id", "gap_start", "gap_end", "unique_key", "start_page")
 
 
@@ -116,10 +117,10 @@ select c.book_id, c.unique_key, count(*) as pages, min(page_num) as first_page,
   sum(len(regexp_extract_all(coalesce(ocr_markdown, ''), '\\S+')))::bigint as words
 from c join p on p.book_id = c.book_id and p.page_num between c.start_page and c.end_page group by 1, 2""")
 def chapter_pages_range_join(spark, folder):
-    """Pages of every chapter, by book and range: an equality for the join, the range as a condition."""
+    """Pages of every chapter, by book, block of pages and range."""
     c = chapters(spark, folder, "start_page", "end_page")
     p = pages(spark, folder, "ocr_markdown").select("book_id", "page_num", T.word_count(F.coalesce("ocr_markdown", F.lit(""))).alias("words"))
-    joined = c.join(p, "book_id").where(F.col("page_num").between(F.col("start_page"), F.col("end_page")))
+    joined = W.in_ranges(p, "page_num", c, "start_page", "end_page", ["book_id"])
     return joined.groupBy("book_id", "unique_key").agg(
         F.count("*").alias("pages"), F.min("page_num").alias("first_page"), F.max("page_num").alias("last_page"), F.sum("words").alias("words")
     )
@@ -146,12 +147,13 @@ def chapter_paragraphs(spark, folder):
     )
 
 
-@query(f"with {_CH} select book_id, coalesce(nullif(matter_type, ''), 'unknown') as matter_type, count(*) as chapters, count(*) filter (coalesce(polish_complete, false)) as polished, count(*) filter (not coalesce(polish_complete, false) and coalesce(polish_failed, false)) as failed from c group by 1, 2")
+@query(f"with {_CH} select book_id, coalesce(nullif(matter_type, ''), 'unknown') as matter_type, count(*) as chapters, count(*) filter (coalesce(polish_complete, false)) as polished, count(*) filter (not coalesce(polish_complete, false) and coalesce(polish_failed, false)) as failed, count(*) filter (not coalesce(polish_complete, false) and not coalesce(polish_failed, false)) as pending, count(*) filter (audio_include) as included, count(*) filter (not audio_include) as excluded from c group by 1, 2")
 def matter_histogram(spark, folder):
-    c = chapters(spark, folder, "matter_type", "polish_complete", "polish_failed")
+    c = chapters(spark, folder, "matter_type", "polish_complete", "polish_failed", "audio_include")
     done, failed = F.coalesce("polish_complete", F.lit(False)), F.coalesce("polish_failed", F.lit(False))
     return c.groupBy("book_id", F.coalesce(F.nullif("matter_type", F.lit("")), F.lit("unknown")).alias("matter_type")).agg(
-        F.count("*").alias("chapters"), F.count_if(done).alias("polished"), F.count_if(~done & failed).alias("failed")
+        F.count("*").alias("chapters"), F.count_if(done).alias("polished"), F.count_if(~done & failed).alias("failed"),
+        F.count_if(~done & ~failed).alias("pending"), F.count_if("audio_include").alias("included"), F.count_if(~F.col("audio_include")).alias("excluded"),
     )
 
 
@@ -260,8 +262,8 @@ anti join (select book_id, start_page, end_page from c where matter_type = 'fron
 def excluded_range_anti(spark, folder):
     """Pages outside all front matter, with a mark for the last fifth of the book."""
     p = pages(spark, folder).join(books(spark, folder), "book_id")
-    x = chapters(spark, folder, "matter_type", "start_page", "end_page").where("matter_type = 'front_matter'").select(F.col("book_id").alias("b"), "start_page", "end_page")
-    left = p.join(x, (p["book_id"] == x["b"]) & p["page_num"].between(x["start_page"], x["end_page"]), "left_anti")
+    x = chapters(spark, folder, "matter_type", "start_page", "end_page").where("matter_type = 'front_matter'").select("book_id", "start_page", "end_page")
+    left = W.in_ranges(p, "page_num", x, "start_page", "end_page", ["book_id"], "left_anti")
     return left.select("book_id", "page_num", (F.col("page_num") >= F.floor(F.col("page_count") * 0.8)).alias("back_matter"))
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numerals as N
 from ..functions import text as T
-from ..operators import pages as P
 from ..sources.tables import blank, metrics, table, zero
 from .chapter_queries import books, chapters, pages
-from .page_queries import _B, _CATEGORIES, _P, _sql_hits
+from .page_queries import _B, _P
 
 QUERIES, SQL = {}, {}
 
@@ -52,6 +51,13 @@ def search_chapters(spark, folder):
     return c.where(hit).select("unique_key", blank("title").alias("title"))
 
 
+@query(f"""with {_CH} select unique_key, coalesce(title, '') as title, start_page is not null as linked from c where contains(lower(coalesce(title, '')), 'the') and unique_key like '%:orphan:%'""")
+def search_discovered(spark, folder):
+    """Chapters outside the contents with a word in their title, linked or not."""
+    c = chapters(spark, folder, "title", "start_page").where(F.col("unique_key").contains(":orphan:") & F.lower(blank("title")).contains("the"))
+    return c.select("unique_key", blank("title").alias("title"), F.col("start_page").isNotNull().alias("linked"))
+
+
 @query("select coalesce(status, '') as status, count(*) as books, count(*) filter (status in ('complete', 'failed')) as finished, sum(page_count)::bigint as pages from book group by 1")
 def unfinished_books(spark, folder):
     """Books by status, and how many of them are finished."""
@@ -61,21 +67,6 @@ def unfinished_books(spark, folder):
     )
 
 
-@query(f"with {_P}, k as (" + " union all ".join(
-    f"select book_id, page_num, '{c}' as category, {_sql_hits(w)} as words from p where ocr_markdown is not null and page_num <= 50" for c, w in _CATEGORIES.items()
-) + """) select book_id, category, string_agg(page_num, ',' order by page_num) as pages, count(*) as page_count, list_sort(list_distinct(flatten(list(words))))[1] as first_word
-from k where len(words) > 0 group by 1, 2""")
-def keyword_report(spark, folder):
-    """Pages of each category of words among the first fifty of every book."""
-    p = pages(spark, folder, "ocr_markdown").where("ocr_markdown is not null and page_num <= 50")
-    hits = p.select("book_id", "page_num", F.explode(P.keyword_hits(F.col("ocr_markdown"), _CATEGORIES)).alias("h"))
-    return hits.groupBy("book_id", "h.category").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("page_num")), lambda n: n.cast("string")), ",").alias("pages"),
-        F.count("*").alias("page_count"),
-        F.min(F.array_min("h.keywords")).alias("first_word"),
-    )
-
-
 @query(f"with {_P} select book_id, sum(len(regexp_extract_all(ocr_markdown, '(?i)harbour')))::bigint as matches, count(*) filter (regexp_matches(ocr_markdown, '(?i)harbour')) as pages from p where ocr_markdown is not null group by 1")
 def grep_totals(spark, folder):
     n = F.regexp_count("ocr_markdown", F.lit("(?i)harbour"))
@@ -108,16 +99,6 @@ def confidence_levels(spark, folder):
     return o.select("page_id", "provider", F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.8, "medium").otherwise("low").alias("level"))
 
 
-@query("""select coalesce(error_type, '') as error_type, regexp_matches(lower(coalesce(error_type, '')), 'rate|timeout|unavail|5[0-9][0-9]') as again, count(*) as calls
-from (select distinct * from metric) where success is not true group by 1, 2""")
-def error_classes(spark, folder):
-    """Errors of failed calls, and whether the same call may succeed again."""
-    kind = blank("error_type")
-    return metrics(spark, folder, ~F.coalesce("success", F.lit(False))).groupBy(
-        kind.alias("error_type"), F.lower(kind).rlike("rate|timeout|unavail|5[0-9][0-9]").alias("again")
-    ).agg(F.count("*").alias("calls"))
-
-
 @query("""with r as (select distinct page_id, provider, '```json' || chr(10) || provider_metadata || chr(10) || '```' as raw from ocr_result where provider_metadata is not null)
 select page_id, provider, regexp_extract(raw, '(?s)(\\{.*\\})', 1) as json from r""")
 def json_repaired(spark, folder):
@@ -137,17 +118,6 @@ def identifier_order(spark, folder):
     return c.select("unique_key", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query()
-def identifier_order_by_value(spark, folder):
-    """Chapters by their identifiers: arabic numbers by value, then Roman ones by value, then others by name."""
-    c = chapters(spark, folder, "entry_number", "entry_id")
-    ident = F.coalesce(F.nullif("entry_number", F.lit("")), F.col("entry_id"))
-    arabic = ident.rlike(r"^\d{1,9}$")
-    kind = F.when(arabic, 0).when(N.number_of(ident).isNotNull(), 1).otherwise(2)
-    w = Window.partitionBy("book_id").orderBy(kind, N.number_of(ident), F.lower(ident), "unique_key")
-    return c.select("unique_key", F.row_number().over(w).cast("long").alias("place"))
-
-
 @query("""select stage, calls, row_number() over (order by case stage when 'ocr' then 1 when 'toc' then 2 when 'metadata' then 3 else 4 end, calls desc, stage) as place
 from (select coalesce(stage, '') as stage, count(*) as calls from metric group by 1)""")
 def custom_order(spark, folder):
@@ -179,15 +149,6 @@ def live_overlay(spark, folder):
     return j.select("book_id", F.coalesce(F.concat(F.lit("running:"), "live"), "stored").alias("status"), F.col("live").isNotNull().alias("is_live"))
 
 
-@query(f"""with {_P}, {_CH}, r as (select book_id, 1 as a, min(start_page) - 1 as z from c where start_page is not null group by 1)
-select p.book_id, p.page_num, p.ocr_markdown as text from p join r on r.book_id = p.book_id and p.page_num between a and z where coalesce(ocr_complete, false) and trim(coalesce(ocr_markdown, ''), ' ' || chr(10)) <> ''""")
-def toc_pages(spark, folder):
-    """Pages with text before a book's first chapter, where contents lists stand."""
-    first = chapters(spark, folder, "start_page").groupBy("book_id").agg((F.min("start_page") - 1).alias("z")).where("z is not null")
-    p = pages(spark, folder, "ocr_markdown", "ocr_complete").where("ocr_complete").where(F.regexp_replace(blank("ocr_markdown"), r"^[ \n]+|[ \n]+$", "") != "")
-    return p.join(first, "book_id").where(F.col("page_num").between(F.lit(1), F.col("z"))).select("book_id", "page_num", F.col("ocr_markdown").alias("text"))
-
-
 @query(f"""with {_CH} select unique_key, (row_number() over (partition by book_id order by sort_order nulls last, unique_key) - 1)::int as position from c where start_page is not null""")
 def resort_stable(spark, folder):
     """Places of linked chapters from 0 in their present order."""

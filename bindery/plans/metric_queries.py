@@ -197,16 +197,6 @@ def recent_runs_topk(spark, folder):
     return shown.orderBy(F.desc("created_us"), "_docid").limit(20)
 
 
-@query(_ONCE + """select case when p >= 20 then 'high' when p >= 10 then 'normal' else 'low' end as band, count(*) as calls from (
-  select case when stage in ('metadata', 'toc', 'toc-link', 'toc-discover') or stage like 'structure%' then 20 when coalesce(stage, '') <> '' then 10 else 0 end as p from m) group by 1""")
-def priority_bands(spark, folder):
-    """Calls by band of priority."""
-    s = blank("stage")
-    p = F.when(s.isin("metadata", "toc", "toc-link", "toc-discover") | s.startswith("structure"), 20).when(s != "", 10).otherwise(0)
-    band = F.when(p >= 20, "high").when(p >= 10, "normal").otherwise("low")
-    return metrics(spark, folder).groupBy(band.alias("band")).agg(F.count("*").alias("calls"))
-
-
 @query(_ONCE + """select coalesce(error_type, '') as error_type, coalesce(provider, '') as provider, count(*) as calls from m
 where stage in ('toc', 'tts') and success is not true group by 1, 2""")
 def stage_union(spark, folder):

@@ -32,13 +32,15 @@ _WORDS = "len(regexp_extract_all(coalesce({0}, ''), '\\S+'))"
 
 
 @query(f"""with {_P}, {_O}, {_B}, s as (select p.book_id, o.provider, count(distinct o.page_id) as done from o join p on p._docid = o.page_id where coalesce(o.text, '') <> '' group by 1, 2)
-select b.book_id, coalesce(provider, '') as provider, coalesce(done, 0) as done, page_count, round(coalesce(done, 0) / greatest(page_count, 1), 6) as share from b left join s on s.book_id = b.book_id""")
+select b.book_id, coalesce(provider, '') as provider, coalesce(done, 0) as done, page_count, round(coalesce(done, 0) / greatest(page_count, 1), 6) as share, page_count - coalesce(done, 0) as remaining,
+  case when page_count = 0 then 0 else round(coalesce(done, 0) * 100.0 / page_count, 6) end as percent from b left join s on s.book_id = b.book_id""")
 def ocr_progress(spark, folder):
     """Pages read by each provider of each book, of all its pages."""
     good = table(spark, folder, "ocr_result", "page_id", "provider", "text").where("text <> ''").select("page_id", "provider").distinct()
     done = good.join(pages(spark, folder).select(F.col("_docid").alias("page_id"), "book_id"), "page_id").groupBy("book_id", "provider").agg(F.count("*").alias("done"))
     out = books(spark, folder).join(done, "book_id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    return out.select("book_id", blank("provider").alias("provider"), "done", "page_count", F.round(F.col("done") / F.greatest("page_count", F.lit(1)), 6).alias("share"))
+    return out.select("book_id", blank("provider").alias("provider"), "done", "page_count", F.round(F.col("done") / F.greatest("page_count", F.lit(1)), 6).alias("share"),
+                      (F.col("page_count") - F.col("done")).alias("remaining"), F.when(F.col("page_count") == 0, 0.0).otherwise(F.round(F.col("done") * 100.0 / F.col("page_count"), 6)).alias("percent"))
 
 
 @query(f"""with {_P}, {_B} select b.book_id, count(*) filter (coalesce(ocr_complete, false)) as done,
@@ -71,16 +73,16 @@ def priority_text(spark, folder):
     return P.by_priority(o, "page_id", "provider", "text", ["inkscan", "lumenread"])
 
 
-@query(f"""with {_P}, {_O}, f as (select distinct page_id, provider from o)
-select p._docid as page_id, coalesce(string_agg(f.provider, ',' order by f.provider), '') as providers, count(f.provider) as readings from p left join f on f.page_id = p._docid group by 1""")
+@query(f"""with {_P}, {_O}, f as (select page_id, provider, max_by(text, created_at) as text from o group by 1, 2)
+select p._docid as page_id, coalesce(string_agg(f.provider || '=' || coalesce(length(f.text), -1), ',' order by f.provider), '') as readings, count(f.provider) as count from p left join f on f.page_id = p._docid group by 1""")
 def page_ocr_nested(spark, folder):
-    """Every page with the list of its readings."""
-    o = table(spark, folder, "ocr_result", "page_id", "provider").distinct().groupBy("page_id").agg(
-        F.array_sort(F.collect_list("provider")).alias("list")
-    )
+    """Every page with its readings: each provider's latest, here shown by its length."""
+    o = W.latest(table(spark, folder, "ocr_result", "page_id", "provider", "text", "created_at"), ["page_id", "provider"], ["created_at"])
+    nested = o.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("provider", "text", "created_at"))).alias("readings"))
+    shown = F.transform("readings", lambda r: F.concat(r["provider"], F.lit("="), F.coalesce(F.length(r["text"]), F.lit(-1)).cast("string")))
     p = pages(spark, folder).select(F.col("_docid").alias("page_id"))
-    return p.join(o, "page_id", "left").select(
-        "page_id", F.coalesce(F.array_join("list", ","), F.lit("")).alias("providers"), F.coalesce(F.size("list"), F.lit(0)).cast("long").alias("readings")
+    return p.join(nested, "page_id", "left").select(
+        "page_id", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("readings"), F.coalesce(F.size("readings"), F.lit(0)).cast("long").alias("count")
     )
 
 
@@ -148,24 +150,6 @@ def first_heading(spark, folder):
     )
 
 
-#: The words that tell the parts of a book, and some of the corpus.
-_CATEGORIES = P.KEYWORDS | {"places": ["harbour", "wharf", "ferry", r"mill\w*"], "people": ["notary", "widow"]}
-
-
-def _sql_hits(words: list[str]) -> str:
-    return "list_sort(list_distinct(regexp_extract_all(ocr_markdown, '(?i)\\b(" + "|".join(w.replace("'", "''") for w in words) + ")\\b', 1)))"
-
-
-@query(f"with {_P}, k as (" + " union all ".join(
-    f"select book_id, page_num, '{c}' as category, {_sql_hits(w)} as words from p where ocr_markdown is not null" for c, w in _CATEGORIES.items()
-) + ") select book_id, page_num, category, array_to_string(words, '|') as keywords from k where len(words) > 0")
-def keyword_categories(spark, folder):
-    """Words that tell the parts of a book, by page and category."""
-    p = pages(spark, folder, "ocr_markdown").where("ocr_markdown is not null")
-    hits = p.select("book_id", "page_num", F.explode(P.keyword_hits(F.col("ocr_markdown"), _CATEGORIES)).alias("h"))
-    return hits.select("book_id", "page_num", "h.category", F.array_join("h.keywords", "|").alias("keywords"))
-
-
 _GREP = "select book_id, page_num, len(regexp_extract_all(ocr_markdown, '(?i)harbour')) as matches from p where regexp_matches(ocr_markdown, '(?i)harbour')"
 
 
@@ -192,30 +176,6 @@ _islands("match_clusters", 3, 2)
 _islands("dense_clusters", 2, 3)
 
 
-def _snippets(text, pattern: str, most: int = 3, around: int = 50):
-    """The first matches of a pattern, each with the characters around it, which may hold other matches."""
-    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), 0), 1, most)
-    between = F.split(text, pattern, most + 1)
-    size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(y))
-
-    def cut(match, i):
-        start = size(F.slice(between, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
-        first = F.greatest(start - around, F.lit(0))
-        return F.substring(text, first + 1, start + F.length(match) + around - first)
-
-    return F.transform(found, cut)
-
-
-def grep_snippets(spark, folder):
-    """Up to three snippets on each page: the matches of a pattern with fifty characters on both sides."""
-    p = pages(spark, folder, "ocr_markdown").where(F.col("ocr_markdown").rlike("(?i)harbour"))
-    near = _snippets(F.col("ocr_markdown"), "(?i)harbour")
-    shown = F.transform(near, lambda x: F.concat(F.lit("..."), F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("...")))
-    return p.select("_docid", F.posexplode(shown).alias("n", "snippet"))
-
-
-QUERIES["grep_snippets"] = grep_snippets
-
 _C = "c as (select distinct unique_key, split_part(unique_key, ':', 1) as book_id, start_page, end_page from chapter)"
 
 
@@ -226,9 +186,8 @@ _C = "c as (select distinct unique_key, split_part(unique_key, ':', 1) as book_i
 select unique_key, string_agg(pre || body, '' order by page_num) as merged from z group by 1""")
 def merge_pages(spark, folder):
     """The text of every chapter put together from its pages."""
-    c = chapters(spark, folder, "start_page", "end_page").drop("_docid")
-    p = pages(spark, folder, "ocr_markdown")
-    joined = c.join(p, "book_id").where(F.col("page_num").between(F.col("start_page"), F.col("end_page")))
+    c = chapters(spark, folder, "start_page", "end_page")
+    joined = W.in_ranges(pages(spark, folder, "ocr_markdown"), "page_num", c, "start_page", "end_page", ["book_id"])
     return P.merged_text(joined, ["unique_key"], "page_num", "ocr_markdown")
 
 

@@ -113,9 +113,9 @@ select chapter_id, string_agg(unique_key, ',' order by n desc) as last_keys, cou
 def last3_fresh(spark, folder):
     """The last three fresh segments of every chapter, oldest first; older than sixty days counts as stale."""
     s = table(spark, folder, "audio_segment", "chapter_id", "unique_key", "duration_ms", "created_at")
-    now = s.agg(F.max("created_at").alias("now")).first()["now"]
+    now = s.agg(F.max("created_at")).scalar()
     w = Window.partitionBy("chapter_id").orderBy(F.desc("created_at"), F.desc("unique_key"), F.desc(F.coalesce("duration_ms", F.lit(-1))))
-    fresh = s.where(F.col("created_at") > F.lit(now) - F.expr("interval 60 days")).withColumn("n", F.row_number().over(w)).where("n <= 3")
+    fresh = s.where(F.col("created_at") > now - F.expr("interval 60 days")).withColumn("n", F.row_number().over(w)).where("n <= 3")
     return fresh.groupBy("chapter_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "unique_key"))), lambda x: x["unique_key"]), ",").alias("last_keys"),
         F.count("*").alias("fresh"),
@@ -236,7 +236,8 @@ select status, book_id, (1 + coalesce(sum(page_count) over (partition by status
 def cumulative_ranges(spark, folder):
     """Books of each status laid end to end: the range of pages each takes."""
     b = table(spark, folder, "book", F.col("_docid").alias("book_id"), "status", "page_count")
-    o = W.offsets(b, ["status"], ["book_id"], "page_count")
+    # Statuses are few: books are laid end to end by the beginnings of their ids.
+    o = W.offsets(b, ["status"], ["book_id"], "page_count", F.left("book_id", F.lit(6)))
     return o.select("status", "book_id", (F.col("offset") + 1).alias("first_page"), (F.col("offset") + F.col("page_count")).cast("long").alias("last_page"))
 
 

@@ -15,6 +15,8 @@ from .metric_queries import _COST, _ONCE
 from .staging import own_folder
 
 QUERIES, SQL = {}, {}
+#: How long after its first delivery a call may come again; its id is kept so long.
+LATE = "30 days"
 
 
 def query(sql: str | None = None):
@@ -49,20 +51,21 @@ def _run(spark, stream, mode: str):
 @query(_ONCE + f"select coalesce(stage, '') as stage, count(*) as calls, {_COST} as cost_usd from m group by 1")
 def streaming_cost_by_stage(spark, folder):
     """Cost by stage over a stream of the log, each call counted once; the last batch holds the totals."""
-    stream = sinks.once(_metric_stream(spark, folder), "_docid", "created_at", "400 days")
+    stream = sinks.once(_metric_stream(spark, folder), "_docid", "created_at", LATE)
     total = stream.groupBy(blank("stage").alias("stage")).agg(F.count("*").alias("calls"), M.exact_sum("cost_usd").alias("cost_usd"))
     out = _run(spark, total, "complete")
     last = out.agg(F.max("batch").alias("b")).first()["b"]
     return out.where(F.col("batch") == last).drop("batch")
 
 
-@query(f"""with d as (select *, epoch_us(created_at) // 86400000000 * 86400000000 as day from metric)
+@query(f"""with d as (select *, epoch_us(created_at) // 86400000000 * 86400000000 as day from (select distinct * from metric))
 select day as window_us, coalesce(stage, '') as stage, count(*) as calls, {_COST} as cost_usd from d
 group by 1, 2 having day + 2 * 86400000000 <= (select epoch_us(max(created_at)) from metric)""")
 def streaming_daily_cost(spark, folder):
-    """Calls and cost by day and stage over a stream, of the days that are final: a day is when a day more
+    """Calls, each counted once, and cost by day and stage over a stream, of the days that are final: a day is when a day more
     has passed."""
-    out = _run(spark, sinks.windowed(_metric_stream(spark, folder), "created_at", "1 day", "1 day", "stage"), "append")
+    once = sinks.once(_metric_stream(spark, folder), "_docid", "created_at", "1 day")
+    out = _run(spark, sinks.windowed(once, "created_at", "1 day", None, "stage"), "append")
     return out.select(F.unix_micros("window_start").alias("window_us"), "stage", "calls", "cost_usd")
 
 
@@ -75,6 +78,13 @@ def builder_query(spark, folder):
     return found.orderBy(F.desc("start_page"), "_docid").limit(50)
 
 
+@query("""select _docid, page_count, coalesce(publication_year, 0) as publication_year from book where page_count > 30 and publication_year <= 1900 order by page_count desc, _docid limit 10 offset 3""")
+def builder_page(spark, folder):
+    """A page of the builder's: bounds, order, limit and offset."""
+    q = Query("book").filter_gt("page_count", 30).filter_lte("publication_year", 1900).order_by("page_count", True).limit(10).offset(3)
+    return q.fields("_docid", "page_count", "publication_year").build(spark, folder)
+
+
 @query("""select _docid, coalesce(max_by(total_seconds, created_at), 0) as total_seconds from metric where created_at <= timestamptz '2025-06-01 00:00:00+00' and true group by 1
 having max_by(stage, created_at) = 'tts'""")
 def builder_as_of(spark, folder):

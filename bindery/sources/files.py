@@ -6,7 +6,7 @@ import os
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -71,3 +71,13 @@ def inline_images(df: DataFrame, key: str, text: str) -> DataFrame:
         F.regexp_extract("_uri", r"^data:image/([a-z+]+);", 1).alias("kind"),
         F.unbase64(F.substring_index("_uri", ",", -1)).alias("image"),
     )
+
+
+def image_paths(text: Column, images: Column, folder: Column) -> Column:
+    """``text`` with the first reference ``(name)`` to each of its saved images, an array of names, naming the file in ``folder``;
+    images without a name are passed over."""
+    edits = F.transform(
+        F.filter(images, lambda i: F.coalesce(i, F.lit("")) != ""),
+        lambda i: F.struct(F.concat(F.lit("("), i, F.lit(")")).alias("old"), F.concat(F.lit("("), folder, F.lit("/"), i, F.lit(")")).alias("new")),
+    )
+    return T.apply_edits(text, edits)

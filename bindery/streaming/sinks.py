@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators import metrics as M
 from ..sources.tables import blank
@@ -38,15 +38,28 @@ def batched(stream: DataFrame, write: Callable[[str, str, DataFrame, int], None]
     return writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
 
 
+def flush(query: StreamingQuery) -> None:
+    """Wait until all that had come when this was called is written."""
+    query.processAllAvailable()
+
+
+def stopped(query: StreamingQuery) -> None:
+    """Write what is there, then stop; what comes later isn't taken any more."""
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()
+
+
 def once(stream: DataFrame, key: str, time: str, late: str = "7 days") -> DataFrame:
     """Each key once, however often it is delivered within ``late`` of its first time."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed(stream: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
-    """Calls and cost by event-time window and keys; a window is final when ``late`` has passed after it."""
+def windowed(stream: DataFrame, time: str, width: str, late: str | None, *keys: str) -> DataFrame:
+    """Calls and cost by event-time window and keys; a window is final when ``late`` has passed after it. Without ``late`` the
+    watermark that the stream has already counts."""
     return (
-        stream.withWatermark(time, late)
+        (stream.withWatermark(time, late) if late else stream)
         .groupBy(F.window(time, width), *[blank(k).alias(k) for k in keys])
         .agg(F.count("*").alias("calls"), M.exact_sum("cost_usd").alias("cost_usd"))
         .select(F.col("window.start").alias("window_start"), *keys, "calls", "cost_usd")

@@ -1,4 +1,4 @@
-from bindery.plans.lookup_queries import identifier_order_by_value
+from bindery.plans.entry_queries import identifier_order_by_value
 
 
 def test_roman_numbers_by_value(spark, tmp_path):

@@ -136,12 +136,24 @@ def test_files(spark, tmp_path, rows):
 
 
 def test_epub():
-    data = sinks.epub("T<", "A", "id", [{"id": "c1", "title": "One & two", "body": "<p>x</p>", "smil": "<smil/>"}])
+    parts = [
+        {"id": "c1", "title": "One & two", "body": "<p>x</p>", "level": 1, "level_name": "part", "segments": [{"paragraph_idx": 0, "start_offset_ms": 0, "duration_ms": 1500}, {"paragraph_idx": 1, "start_offset_ms": 1500, "duration_ms": 60_000}], "audio": b"mp3"},
+        {"id": "c2", "title": "Below", "body": "<p>y</p>", "level": 2, "level_name": "chapter"},
+        {"id": "c3", "title": None, "body": "<p>z</p>", "level": 1, "level_name": "chapter"},
+    ]
+    made = lambda: sinks.epub("T<", "A", "id", parts, "de", "2025-01-02T03:04:05Z", "N", b"jpg")
+    data = made()
     z = zipfile.ZipFile(BytesIO(data))
-    assert z.namelist()[0] == "mimetype" and z.read("mimetype") == b"application/epub+zip"
-    assert b"One &amp; two" in z.read("OEBPS/nav.xhtml") and "OEBPS/c1.smil" in z.namelist()
-    assert data == sinks.epub("T<", "A", "id", [{"id": "c1", "title": "One & two", "body": "<p>x</p>", "smil": "<smil/>"}])
-    assert json.loads(sinks.show([{"a": 1}])) == [{"a": 1}]
+    assert z.namelist()[0] == "mimetype" and z.read("mimetype") == b"application/epub+zip" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
+    opf, nav, overlay = (z.read(f"OEBPS/{n}").decode() for n in ("content.opf", "nav.xhtml", "c1.smil"))
+    assert "<dc:title>T&lt;</dc:title>" in opf and "<dc:language>de</dc:language>" in opf and '<meta property="dcterms:modified">2025-01-02T03:04:05Z</meta>' in opf
+    assert '<meta property="media:duration">00:01:01.500</meta>' in opf and "media:narrator" in opf and 'media-overlay="c1_smil"' in opf and "cover-image" in opf
+    assert '<li><a href="c1.xhtml">One &amp; two</a><ol><li><a href="c2.xhtml">Below</a></li></ol></li><li><a href="c3.xhtml"></a></li>' in nav
+    assert '<text src="c1.xhtml#p1"/><audio src="c1.mp3" clipBegin="1.500s" clipEnd="61.500s"/>' in overlay and z.read("OEBPS/c1.mp3") == b"mp3"
+    plain = zipfile.ZipFile(BytesIO(sinks.epub("T", "A", "id", parts[1:]))).read("OEBPS/content.opf").decode()
+    assert "<dc:language>en</dc:language>" in plain and "media:" not in plain
+    assert data == made()
+
 
 
 def test_batched_sink(spark, tmp_path, rows):

@@ -1,4 +1,4 @@
-from bindery.plans.page_queries import grep_snippets
+from bindery.plans.report_queries import grep_snippets
 
 
 def test_contexts_may_overlap(spark, tmp_path):
