@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import json as J
@@ -58,7 +59,7 @@ def _keyword_report(spark, folder):
     return R.keyword_report(b, p, R.keyword_pages(p))
 
 
-_LISTS = f"""{_P}, {_BK}, {_hits(_FIRST)},
+_FACTS = f"""{_hits(_FIRST)},
  h as (select distinct book_id, page_num from p join b using (book_id) where {_FIRST}),
  w as (select book_id, unnest(range(1, least(50, page_count) + 1)) as page_num from b),
  s as (select distinct book_id, page_num from k where category = 'structure'),
@@ -70,6 +71,7 @@ _LISTS = f"""{_P}, {_BK}, {_hits(_FIRST)},
    coalesce((select list(w.page_num order by w.page_num) from w anti join h on h.book_id = w.book_id and h.page_num = w.page_num where w.book_id = b.book_id), []) as failed,
    {', '.join(f"coalesce((select list(page_num order by page_num) from (select distinct book_id, page_num from k where category = '{c}') x where x.book_id = b.book_id), []) as {c}" for c in P.KEYWORDS)},
    coalesce(cs.cl, []) as cl from b left join cs on cs.book_id = b.book_id)"""
+_LISTS = f"{_P}, {_BK}, {_FACTS}"
 _SHOW = "'[' || array_to_string({0}, ' ') || ']'"
 
 
@@ -85,7 +87,7 @@ def keyword_report(spark, folder):
 _MORE = _SHOW.format("{0}[1:5]") + " || case when len({0}) > 5 then chr(10) || '  (+' || (len({0}) - 5) || ' more)' else '' end"
 
 
-@query(f"""with {_LISTS} select book_id, 'Searched: 1-' || searched || ' (' || with_data || ' pages with OCR data)' || chr(10)
+_SUMMARY = f"""select book_id, 'Searched: 1-' || searched || ' (' || with_data || ' pages with OCR data)' || chr(10)
  || case when len(failed) > 0 then chr(10) || '⚠️  WARNING: ' || len(failed) || ' pages missing OCR data: ' || {_SHOW.format('failed')} || chr(10) || '   These pages could not be searched - ToC might be on an unsearched page!' || chr(10) else '' end
  || chr(10) || case when len(toc) + len(structure) + len(front_matter) + len(back_matter) = 0 then 'No keywords found in searchable pages.'
    || case when len(failed) > 0 then chr(10) || 'Consider visually checking failed pages - they may contain ToC.' else '' end
@@ -96,12 +98,42 @@ _MORE = _SHOW.format("{0}[1:5]") + " || case when len({0}) > 5 then chr(10) || '
  || case when len(front_matter) > 0 then '• Front matter: pages ' || {_MORE.format('front_matter')} || chr(10) || chr(10) else '' end
  || case when len(back_matter) > 0 then '• Back matter: pages ' || {_MORE.format('back_matter')} || chr(10) || chr(10) else '' end
  || 'RECOMMENDATION:' || case when len(toc) > 0 then chr(10) || '  Start with TOC keyword pages' when len(structure) > 0 then case when len(cl) > 0 then chr(10) || '  Check structure cluster: pages ' || cl[1].a || '-' || cl[1].z else '' end
-   when len(front_matter) > 0 then chr(10) || '  Scan front matter region around pages ' || {_SHOW.format('front_matter[1:3]')} else chr(10) || '  Sequential scan of front matter (pages 1-20)' end end as summary from f""")
+   when len(front_matter) > 0 then chr(10) || '  Scan front matter region around pages ' || {_SHOW.format('front_matter[1:3]')} else chr(10) || '  Sequential scan of front matter (pages 1-20)' end end as summary from f"""
+
+
+@query(f"with {_LISTS} {_SUMMARY}")
 def keyword_summary(spark, folder):
     """The report in words, with what to look at first."""
     return R.keyword_summary(_keyword_report(spark, folder))
 
 
+_NOTES = """p as (select book_id, row_number() over (partition by book_id order by doc_id)::int as page_num, text as ocr_markdown from documents where book_id is not null),
+ b as (select book_id, count(*)::int as page_count from documents where book_id is not null group by 1)"""
+
+
+def _notes(spark, folder):
+    """The documents of a book as if they were its pages."""
+    d = table(spark, folder, "documents", "doc_id", "book_id", F.col("text").alias("ocr_markdown")).where("book_id is not null")
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
+    b = d.groupBy("book_id").agg(F.count("*").cast("int").alias("page_count"))
+    return b, d.select("book_id", place.alias("page_num"), "ocr_markdown").join(b, "book_id")
+
+
+@query(f"with {_NOTES}, {_hits('ocr_markdown is not null')} select book_id, page_num, category, array_to_string(words, '|') as keywords from k")
+def document_keywords(spark, folder):
+    """Words that tell the parts of a book, in the documents of every book."""
+    _, p = _notes(spark, folder)
+    hits = p.select("book_id", "page_num", F.explode(P.keyword_hits(F.col("ocr_markdown"))).alias("h"))
+    return hits.select("book_id", "page_num", "h.category", F.array_join("h.keywords", "|").alias("keywords"))
+
+
+@query(f"with {_NOTES}, {_FACTS} {_SUMMARY}")
+def document_keyword_summary(spark, folder):
+    """The report in words over the documents of every book."""
+    b, p = _notes(spark, folder)
+    return R.keyword_summary(R.keyword_report(b, p, R.keyword_pages(p)))
+
+
 _MATCHES = "g as (select book_id, page_num, len(regexp_extract_all(ocr_markdown, '(?i)harbour')) as n from p where regexp_matches(ocr_markdown, '(?i)harbour'))"
 
 
