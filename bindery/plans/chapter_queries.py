@@ -278,7 +278,11 @@ def chapter_prompt_lines(spark, folder):
     return c.select("unique_key", F.coalesce("level", F.lit(0)).alias("level"), line.alias("prompt_line"))
 
 
-@query()
+@query(f"""with {_CH}, a as (select *, row_number() over (partition by book_id order by sort_order nulls last, unique_key) as number, regexp_replace(coalesce(mechanical_text, ''), '^\\s+|\\s+$', '', 'g') as t from c),
+ f as (select *, replace(t, chr(10), ' ') as flat from a), n as (select *, case when strlen(flat) > 200 then list_max(list_filter(range(1, 201), lambda i: strlen(left(flat, i)) <= 200)) end as fit from f)
+select unique_key, number, number || '. "' || coalesce(title, '') || '" (' || case when coalesce(end_page, 0) = 0 or coalesce(end_page, 0) = coalesce(start_page, 0) then 'page ' || coalesce(start_page, 0) else 'pages ' || coalesce(start_page, 0) || '-' || end_page end
+ || ', level ' || coalesce(level, 0) || ' ' || coalesce(level_name, '') || ', word_count ' || case when coalesce(word_count, 0) <> 0 then word_count else len(regexp_extract_all(coalesce(mechanical_text, ''), '\\S+')) end
+ || ') [id: ' || coalesce(entry_id, '') || ']' || chr(10) || '   text: ' || case when flat = '' then '[no text]' when strlen(flat) > 200 then left(flat, fit) || case when strlen(left(flat, fit)) < 200 then chr(65533) else '' end || '...' else flat end as prompt_line from n""")
 def chapter_classify_lines(spark, folder):
     """The whole entry of every chapter in a prompt for its classification: number in its book, title, pages, level, words
     (counted where none are stored) and the first 200 bytes of its text."""
@@ -295,7 +299,7 @@ def chapter_classify_lines(spark, folder):
     place = F.when(one, F.format_string("page %d", n("start_page"))).otherwise(F.format_string("pages %d-%d", n("start_page"), n("end_page")))
     line = F.format_string('%d. "%s" (%s, level %d %s, word_count %d) [id: %s]\n   text: %s', "number", blank("title"), "place", n("level"), blank("level_name"), "words", blank("entry_id"), "snippet")
     made = c.withColumns({"number": number, "place": place, "words": words, "snippet": snippet})
-    return made.select("unique_key", "number", line.alias("prompt_line"))
+    return made.select("unique_key", F.col("number").cast("long").alias("number"), line.alias("prompt_line"))
 
 
 @query(f"""with {_CH}, m as (select book_id, unique_key, coalesce(try_cast(json_extract_string(j, '$.' || entry_id) as varchar), matter_type) as matter_type from c

@@ -61,6 +61,23 @@ def settings(path: str, env: dict[str, str] | None = None) -> dict:
     return expanded(json.loads(text), env)
 
 
+class Watched:
+    """Settings of a file that are read again once the file has changed; while it can't be read, the last ones stay."""
+
+    def __init__(self, path: str, env: dict[str, str] | None = None) -> None:
+        self.path, self.env, self._at, self._now = path, env, None, None
+
+    def get(self) -> dict:
+        try:
+            at = os.stat(self.path).st_mtime_ns
+            if at != self._at:
+                self._now, self._at = settings(self.path, self.env), at
+        except (OSError, ValueError):
+            if self._now is None:
+                raise
+        return self._now
+
+
 def inline_images(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, image_no, kind, image binary`` of the images that a text holds as data addresses."""
     found = F.regexp_extract_all(text, F.lit(r"(data:image/[a-z+]+;base64,[A-Za-z0-9+/=]+)"), 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -15,13 +15,16 @@ from ..sources.tables import blank
 ORDER = ("create", "update", "delete")
 
 
-def batched(stream: DataFrame, write: Callable[[str, str, DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> DataStreamWriter:
+def batched(
+    stream: DataFrame, write: Callable[[str, str, DataFrame, int], None], checkpoint: str, seconds: int | None = None, most: int = 0
+) -> DataStreamWriter:
     """Write a stream of operations (columns ``collection`` and ``op``) batch by batch and group by group.
 
     ``write(collection, op, rows, batch_id)`` gets the rows of each group: creates first, then updates,
     then deletes. A batch may come again after a failure with the same id, so ``write`` must not mind
     repetition (a path named by the id, overwritten, does not). With ``seconds`` batches are made at
-    that interval, else what is there is written and the query ends.
+    that interval, else what is there is written and the query ends. With ``most`` a call gets so many rows at most, which suits
+    services that take small requests: the rows of a group are numbered in one task then, so batches must be small too.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -30,7 +33,14 @@ def batched(stream: DataFrame, write: Callable[[str, str, DataFrame, int], None]
             groups = batch.select("collection", "op").distinct().collect()  # as many as there are collections
             for g in sorted(groups, key=lambda g: (ORDER.index(g["op"]) if g["op"] in ORDER else len(ORDER), g["collection"])):
                 own = (F.col("collection") == g["collection"]) & (F.col("op") == g["op"])
-                write(g["collection"], g["op"], batch.where(own), batch_id)
+                rows = batch.where(own)
+                if not most:
+                    write(g["collection"], g["op"], rows, batch_id)
+                    continue
+                order = Window.orderBy(*batch.columns)
+                numbered = rows.withColumn("_slice", F.floor((F.row_number().over(order) - 1) / F.lit(most)))
+                for i in range(-(-rows.count() // most)):
+                    write(g["collection"], g["op"], numbered.where(F.col("_slice") == i).drop("_slice"), batch_id)
         finally:
             batch.unpersist()
 
