@@ -307,19 +307,18 @@ def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
     fill = packed.groupBy("container").agg(F.sum("part_size").alias("fill"))
     docs = packed.groupBy("doc_id").agg(F.max("tokens").alias("tokens"), F.sum("part_size").alias("sum"), F.count("*").alias("parts"))
     all_docs = table(spark, folder, "documents", "doc_id")
-    lost = all_docs.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("lost"), F.lit(1).alias("k"))
+    lost = all_docs.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("lost"))
     d = docs.agg(
         F.count("*").alias("documents"),
         F.count_if((F.col("parts") > 1) & (F.col("tokens") <= CAPACITY)).alias("wrongly_cut"),
         F.count_if(F.col("sum") != F.col("tokens")).alias("incomplete"),
-        F.lit(1).alias("k"),
     )
     c = fill.agg(
         F.count_if(F.col("fill") > CAPACITY).alias("overfull"),
         (F.count_if(F.col("fill") > 0) <= F.ceil(F.sum("fill") / CAPACITY) * 1.01 + 1).alias("nearly_least"),
-        F.lit(1).alias("k"),
     )
-    return d.join(c, "k").join(lost, "k").drop("k")
+    facts = d.unionByName(c, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)  # three rows, each with some of the columns
+    return facts.agg(*[F.max(x).alias(x) for x in facts.columns])
 
 
 P7_CHECKED_SQL = "select count(*) as documents, 0::bigint as wrongly_cut, 0::bigint as incomplete, 0::bigint as overfull, true as nearly_least, 0::bigint as lost from documents"
@@ -364,8 +363,8 @@ def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
     used = staged(used)
     own = used.groupBy("source").agg(F.sum("repeats").alias("copies_used"), F.max("repeats").alias("most"), F.sum(F.col("tokens") * F.col("repeats")).alias("size"), F.max("tokens").alias("longest"))
     counts = table(spark, folder, "documents", "source", "doc_id", "text").where("text <> ''").groupBy("source").agg(F.count("*").alias("documents"))
-    whole = own.agg(F.sum("size").alias("whole"), F.sum("longest").alias("slack"), F.lit(1).alias("k"))
-    j = chosen.join(own, "source", "left").join(counts, "source", "left").withColumn("k", F.lit(1)).join(whole, "k")
+    whole, slack = own.agg(F.sum("size")).scalar(), own.agg(F.sum("longest")).scalar()
+    j = chosen.join(own, "source", "left").join(counts, "source", "left").withColumns({"whole": whole, "slack": slack})
     near = F.abs(F.coalesce("size", F.lit(0)) / F.col("whole") - F.col("share")) <= F.col("slack") / F.col("whole")
     as_many = F.abs(F.coalesce("copies_used", F.lit(0)) - F.col("copies") * F.col("documents")) <= 1
     return j.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), as_many.alias("as_many"), near.alias("near_target"))

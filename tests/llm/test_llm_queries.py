@@ -10,6 +10,24 @@ from bindery.llm import queries as Q
 def test_runs(spark, data, name):
     df = Q.QUERIES[name](spark, data)
     assert len(df.collect()) > 0 and len(set(df.columns)) == len(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_texts_are_cut_once(spark, data):
+    plan = Q.p1_found(spark, data)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython") == 3  # one for each field
+
+
+def test_one_model_for_all_queries(spark, data, monkeypatch):
+    from bindery.llm import abuse
+
+    made = []
+    fit = abuse.fit
+    monkeypatch.setattr(abuse, "fit", lambda sample: made.append(1) or fit(sample))
+    folder = data + "/."  # a folder that no other test has read
+    assert Q.p9_found(spark, folder).count() == Q.p9_scores(spark, folder).where("abusive").count()
+    assert Q.p9_rates(spark, folder).count() > 0 and len(made) == 1
 
 
 def test_found_columns(spark, data):
