@@ -24,6 +24,9 @@ LEAST = 4
 BROADCAST, PART = 200_000, 50_000
 #: Plain letters are doubted if another word is so many times as frequent.
 RATIO = 20.0
+#: Readings whose scores lie so near the best are told apart by the word before: one that is 400 times less likely by itself isn't
+#: taken for what it stands beside.
+MARGIN = 6.0
 #: An edit between two readings of the same text is a confusion if it occurs in so many different words and is so great a part of
 #: all such edits.
 LEARNED_WORDS, LEARNED_SHARE = 8, 0.002
@@ -299,6 +302,7 @@ class Reader:
         self.good, self.watch = good, watch
         self.fine: set[str] = set()  # tokens, with their marks, that were looked at and are good
         self.contexts: Counter = Counter()
+        self.cores: dict[str, str] = {}
 
     def layout(self, text: str, running: set[int]) -> tuple[list[str], list[str]]:
         """Lines, and the kind of each: '' blank, running, number or text."""
@@ -347,9 +351,13 @@ class Reader:
             fine = self.fine
             own = tokens[skip:end]
             if self.watch:
-                previous = before
+                previous, cores = before, self.cores
+                if len(cores) > 1_000_000:
+                    cores.clear()
                 for t in own:
-                    w = core(t)
+                    w = cores.get(t)
+                    if w is None:
+                        w = cores[t] = core(t)
                     if w in self.watch:
                         self.contexts[previous, w] += 1
                     previous = w
@@ -428,7 +436,9 @@ def findings(
     good = sc.broadcast(frozenset(w for w in known if w not in misread))
     # Readings of words that have several. Those among the broadcast words are bounded by them; the others aren't known to be good,
     # so their facts count them.
-    printed = judged.where("first and size(readings) > 1").select(F.explode("readings.printed").alias("word")).distinct()
+    best = F.get("readings", F.lit(0))["score"]
+    close = F.filter("readings", lambda r: best - r["score"] < MARGIN)
+    printed = judged.where("first").where(F.size(close) > 1).select(F.explode(F.transform(close, lambda r: r["printed"])).alias("word")).distinct()
     watch = sc.broadcast(frozenset(r[0] for r in printed.join(names, "word", "left_semi").collect()) if contexts else frozenset())
     by_text = running.groupBy("tab", "row_key").agg(F.collect_set("line_no").alias("lines"))
     facts = staged(read_lines(texts, by_text, good, watch))
@@ -476,7 +486,8 @@ def chosen_readings(marked: DataFrame, contexts: DataFrame) -> DataFrame:
         (options["before"] == contexts["before"]) & (F.col("option.printed") == F.col("_printed")),
         "left",
     ).drop(contexts["before"])
-    score = F.col("option.score") + F.log(F.coalesce("times", F.lit(0)) + 1)
+    near = F.get("readings", F.lit(0))["score"] - F.col("option.score") < MARGIN
+    score = F.col("option.score") + F.when(near, F.log(F.coalesce("times", F.lit(0)) + 1)).otherwise(0.0)
     return scored.groupBy("tab", "row_key", "line_no", "word", "cut").agg(
         F.max(F.struct(score.alias("score"), F.col("option.printed").alias("printed"))).alias("best"), F.max("first").alias("first"), F.max("second").alias("second")
     ).select("tab", "row_key", "line_no", "word", "cut", "first", "second", "best.printed")
