@@ -269,7 +269,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as continuous clean paragraphs; rows stored twice come out once."""
     texts, noise = _noise(spark, folder, True)
-    return scans.repaired(_once(texts.select("tab", "row_key", "text"), ["tab", "row_key"]), *noise)
+    # One shuffle of the texts serves to tell them apart and to meet their notes.
+    together = texts.select("tab", "row_key", "text").repartition("tab", "row_key")
+    return scans.repaired(_once(together, ["tab", "row_key"]), *noise)
 
 
 # p7 and p8: containers and mixes

@@ -582,4 +582,4 @@ def repaired(texts: DataFrame, furniture: DataFrame, marked: DataFrame, contexts
             out.append(None if t is None else reflow(t, gone, cuts, fixes))
         return pd.Series(out, dtype=object)
 
-    return texts.select("tab", "row_key", "text").join(notes, ["tab", "row_key"], "left").select("tab", "row_key", apply("text", "notes").alias("text"))
+    return texts.select("tab", "row_key", "text").join(notes.hint("shuffle_hash"), ["tab", "row_key"], "left").select("tab", "row_key", apply("text", "notes").alias("text"))
