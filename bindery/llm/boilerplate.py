@@ -26,7 +26,7 @@ BITS = 27
 def _keys(text: str) -> list[str]:
     """The keys of a text's lines, empty for page numbers and lines without letters."""
     keys = L.line_keys(text)
-    if any(0 < len(k) < 9 for k in keys):
+    if min(map(len, filter(None, keys)), default=9) < 9:
         raw = text.split("\n")
         keys = [k if len(k) >= 9 or k in L.PAGE_KEYS or not L.is_page_number(x) else "" for k, x in zip(keys, raw)]
     return ["" if k in L.PAGE_KEYS else k for k in keys]
@@ -41,26 +41,29 @@ def keyed_lines(docs: DataFrame, ids: list[str], fields: list[str], hubs: DataFr
 
     def read(batches):
         wanted = None if lengths is None else lengths.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
                 of, names, numbers, keys = [], [], [], []
-                sources = list(part[ids[0]])
-                for field in fields:
-                    for i, text in enumerate(part[field]):
+                sources = part.column(ids[0]).to_pylist()
+                for f, field in enumerate(fields):
+                    for i, text in enumerate(part.column(field).to_pylist()):
                         near = wanted is None or wanted.get(sources[i])
                         if text and near:
-                            for no, k in enumerate(_keys(text), 1):
-                                if k and (near is True or len(k) in near):
-                                    of.append(i)
-                                    names.append(field)
-                                    numbers.append(no)
-                                    keys.append(k)
-                out = part[ids].iloc[of].reset_index(drop=True)
-                yield out.assign(field=names, line_no=np.array(numbers, dtype="int32"), key=keys)
+                            own = _keys(text)
+                            some = [no for no, k in enumerate(own) if k and (near is True or len(k) in near)]
+                            of += [i] * len(some)
+                            names += [f] * len(some)
+                            numbers += some
+                            keys += [own[no] for no in some]
+                rows, string = pa.array(of, pa.int32()), part.schema.field(fields[0]).type
+                columns = [part.column(c).take(rows) for c in ids]
+                columns.append(pa.array(fields, string).take(pa.array(names, pa.int32())))
+                columns.append(pa.array(np.array(numbers, dtype="int32") + 1, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, string)], names=[*ids, "field", "line_no", "key"])
 
     whole = docs.select(*ids, *fields).where(" and ".join(f"{c} is not null" for c in ids))
-    return whole.mapInPandas(read, f"{schema}, field string, line_no int, key string").withColumn("h", F.xxhash64(ids[0], "key"))
+    return whole.mapInArrow(read, f"{schema}, field string, line_no int, key string").withColumn("h", F.xxhash64(ids[0], "key"))
 
 
 def _broadcast_lengths(hubs: DataFrame):

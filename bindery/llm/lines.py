@@ -44,6 +44,7 @@ _BYTES = bytes(ord(x) if len(x) == 1 and ord(x) < 256 else i for i, x in enumera
 _GONE = bytes(i for i, x in enumerate(_ONE) if not x)
 _BYTE_PAIRS = [(a.encode(), b.encode()) for a, b in _PAIRS]
 _NUMBER = re.compile(r"\d[\d.,/:lo|-]*")
+_ASCII_NUMBER = re.compile(r"[0-9][0-9.,/:lo|-]*")  # the same in such text, found faster
 _ROMAN_EDGE = re.compile(r"^\W*[ivxl]+(?=\W*\s{2})|(?<=\s\s)\W*[ivxl]+\W*$")
 _PLAIN = (("€", "e"), ("†", "t"), ("“", ""), ("”", ""), ("’", ""), ("‘", ""), ("—", ""), ("–", ""), ("…", ""))
 
@@ -53,6 +54,9 @@ _BARE = re.compile(
     re.I,
 )
 _MARKS = re.compile(r"[\W_]{3}")
+#: Ranges of letters and digits only; where all else is taken for a mark, nothing is missed, and sets of fixed ranges are searched fast.
+LETTER_RANGES = "A-Za-z0-9À-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԯא-תؠ-يぁ-ゖァ-ヺ一-龥가-힣"
+_MAY_BE_MARKS = re.compile(rf"[^{LETTER_RANGES}\n]" * 3)
 _DRAWN = re.compile(r"([\W_]{1,2})\1+")
 _DECORATED = re.compile(r"\s*(?P<a>[\[(*–—~-]*\s*)(?P<n>[\dlIiOoSsBZz|!]{1,4}|[ivxlcIVXLC1|]{1,7})(?P<b>\s*[\])*–—~.-]*)\s*")
 
@@ -94,6 +98,17 @@ def is_page_number(line: str) -> bool:
     return True
 
 
+def long_lines(text: str, lines: list[str]) -> list[bool]:
+    """Whether each line of a text is too long for a page number. Lines that hold no three marks in a row are known by their length,
+    of which two characters at each end may be blanks, without a look at the line."""
+    long = [len(x) > 28 for x in lines]
+    no = at = 0
+    for m in _MAY_BE_MARKS.finditer(text):
+        no += text.count("\n", at, at := m.start())
+        long[no] = False
+    return long
+
+
 def _number(m: re.Match) -> str:
     """Nothing for a number standing for itself; a digit beside a letter is a misread letter."""
     t, a, b = m.string, m.start(), m.end()
@@ -106,7 +121,7 @@ def line_keys(text: str) -> list[str]:
     if not t.isascii():
         for a, b in _PLAIN:
             t = t.replace(a, b)
-    t = _NUMBER.sub(_number, t)
+    t = (_ASCII_NUMBER if t.isascii() else _NUMBER).sub(_number, t)
     if "  " in t:
         t = "\n".join([_ROMAN_EDGE.sub(" ", x) if "  " in x else x for x in t.split("\n")])
     try:  # bytes are translated several times faster than other text

@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 
 from bindery.llm import boilerplate as B
 from bindery.llm import lines as L
+from bindery.llm.scans import Reader
 
 NUMBERS = ["12", "[12]", "- 12 -", "Page 12", "p. 8", "**20**", "8 / 64", "[lO]", "[l4]", "iv", "[iii]", "- l4 -", "Seite 5", "[v]", "--------- Page 123 ---------", "* * * * * * * * 12 * * * * * * * *"]
 WORDS = ["", "mild.", "1688.", "a", "dim", "civil", "the", "* * *", "Of 12 ships", "4 crowns", "-----------------------------", "page after page of 1234 and more 12"]
@@ -22,6 +24,40 @@ def test_keys_survive_print_and_scan():
     assert L.line_keys("Дом на горе")[0] != L.line_keys("Лес у реки")[0] != ""
 
 
+def test_only_lines_that_may_be_numbers_are_looked_at(monkeypatch):
+    """Page texts are mostly long lines of words: of these none is held against the forms of page numbers."""
+    prose = [f"It was said in the {w} that the rivers had been examined by it." for w in ("town", "vestry", "forêt", "дом")] * 20
+    text = "\n".join([*prose, *NUMBERS, "", "  ", *WORDS])
+    want = [L.is_page_number(x) for x in text.split("\n")]
+    seen = []
+    real = L.is_page_number
+    monkeypatch.setattr(L, "is_page_number", lambda x: seen.append(x) or real(x))
+    kinds = Reader(frozenset(), frozenset()).layout(text, set())[1]
+    assert [k == "number" for k in kinds] == want and sum(want) == len(NUMBERS)
+    assert not set(seen) & set(prose) and len(seen) < 40
+    no_marks = [chr(i) for i in range(0x110000) if re.match(f"[{L.LETTER_RANGES}]", chr(i))]
+    assert len(no_marks) > 30_000 and not any(re.match(r"[\W_]", c) for c in no_marks)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_lines_are_no_numbers(seed):
+    r = random.Random(seed)
+    parts = [*NUMBERS, *WORDS, " ", "  ", "\t", "\n", "\n", "_", "—", "é", "٣٤", "\x1f", "ß", "xviii", "of 64"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        lines = text.split("\n")
+        long = L.long_lines(text, lines)
+        assert len(long) == len(lines) and not any(n and (L.is_page_number(x) or not x.strip()) for n, x in zip(long, lines))
+
+
+def test_keyed_lines_of_several_fields_and_kinds_of_ids(spark, rows):
+    docs = spark.createDataFrame([("b", 7, "One line\n12\nother", None), ("c", 8, "", "Last é"), ("b", None, "x y z", "x"), (None, 9, "x y z", "x")], "book string, page long, head string, body string")
+    got = rows(B.keyed_lines(docs, ["book", "page"], ["head", "body"]).drop("h"))
+    key = lambda x: L.line_keys(x)[0]
+    assert got == sorted([("b", 7, "head", 1, key("One line")), ("b", 7, "head", 3, key("other")), ("c", 8, "body", 1, key("Last é"))], key=repr)
+    assert B.keyed_lines(docs.limit(0), ["book", "page"], ["head", "body"]).count() == 0
+
+
 def frame(spark, pages):
     return spark.createDataFrame([(*p, "x") for p in pages], "book string, page string, head string, body string, hub string")
 
